@@ -9,16 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .exact_dedup import exact_groups
 from .fingerprints import document_fingerprints
+from .jaccard import similarity_components
 from .packing import pack
+from .repeats import repeat_digests
 from .token_files import token_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op6_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(documents(spark, sf_dir), width=3, percent=90)
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
 
@@ -45,7 +55,7 @@ FROM n
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_packing, op7_winnowing, op8_bit_planes, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array, op5_packing, op6_signature_tree, op7_winnowing, op8_bit_planes, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

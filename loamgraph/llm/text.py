@@ -67,7 +67,7 @@ def shingles(docs: list[bytes], width: int) -> list[np.ndarray]:
     """
     words, before = hash_words(docs)
     n = len(words)
-    odd = [mix64(np.uint64(1000003 * (j + 1))) | np.uint64(1) for j in range(width)]
+    odd = mix64(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(1000003)) | np.uint64(1)
     total = words * odd[0]
     for j in range(1, width):
         total[: n - j] += words[j:] * odd[j]
@@ -77,8 +77,7 @@ def shingles(docs: list[bytes], width: int) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(total[a : b - width + 1]))
         elif b > a:
-            short = np.add.reduce(words[a:b] * np.array(odd[: b - a], dtype=np.uint64)) + np.uint64(b - a)
-            out.append(mix64(np.array([short])))
+            out.append(mix64(np.add.reduce(words[a:b] * odd[: b - a], keepdims=True) + np.uint64(b - a)))
         else:
             out.append(np.empty(0, np.uint64))
     return out

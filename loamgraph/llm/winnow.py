@@ -23,7 +23,8 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     m = 1
     while m < k:
         grown = h * (mix64(np.array([m], dtype=np.uint64)) | np.uint64(1))
-        grown[: len(h) - m] += h[m:]
+        if m < len(h):
+            grown[: len(h) - m] += h[m:]
         h = grown
         m *= 2
     return mix64(h)
