@@ -53,9 +53,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
         yield packed(total)
 
     parts = docs.select("text").mapInArrow(count, "counts binary")
-    n = docs.rdd.getNumPartitions()
-    while n > 8:
-        n = -(-n // 16)
+    for n in (64, 8):
         parts = parts.repartition(n).mapInArrow(add, "counts binary")
     return sum((unpack(r["counts"]) for r in parts.collect()), np.zeros(SLOTS, dtype=np.int64))
 
@@ -217,7 +215,7 @@ def similarity_components(docs: DataFrame, width: int = 3, percent: int = 90, id
     sets = described.where("n > 0")
     rows = sets.select(F.explode("firsts").alias("token"), "cid", F.col("n").cast("int").alias("n"))
     # Elements whose sets are the same give the same bucket; equal sets count as one, by their smallest and largest name.
-    names = F.col("cid").bitwiseAND(F.lit(2**32 - 1))
+    names = F.col("cid").bitwiseAND(F.lit(2**24 - 1))
     shared = rows.groupBy("token").agg(F.sum(names).alias("s"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token", F.xxhash64("s", "a", "b").alias("bucket"))
     members = staged(rows.join(staged(shared, "shared"), "token").select("bucket", "cid", F.col("n").cast("long").alias("n")).distinct(), "members")
     large = staged(members.groupBy("bucket").count().where(F.col("count") > 8 * BLOCK_SETS).select("bucket"), "large")

@@ -60,8 +60,11 @@ def build(sizes: list[int], bitmaps: list[int]) -> Node | None:
             for x in own:
                 f = fold(x.bits, x.width, width)
                 bits |= f
-                # Folding makes more elements of a set share a bit; a node's number holds for its widest set.
-                spare = max(spare, x.spare + (x.bits.bit_count() - f.bit_count() if not x.below else x.high))
+                # Folding makes more elements of a set share a bit; a folded inner node may have up to all.
+                if x.width == width or not x.below:
+                    spare = max(spare, x.spare + x.bits.bit_count() - f.bit_count())
+                else:
+                    spare = max(spare, x.high)
             grown.append(Node(bits, width, own[0].low, own[-1].high, spare, own, -1))
         level = grown
     return level[0] if level else None
