@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
@@ -19,7 +20,8 @@ _PIECES = re.compile(r" (?=\S)", re.UNICODE)
 class Encoder:
     """Ids of texts as little-endian uint32 bytes, the same as `Tokenizer.encode(text, add_special_tokens=False)`.
 
-    `memory` bounds the pieces kept; beyond it the store starts anew, which costs time only.
+    `memory` bounds the pieces kept in each of two generations: when the younger is full, the older
+    goes and pieces still in use move over.  Forgetting costs time only.
     """
 
     def __init__(self, path: str, memory: int = 600_000):
@@ -29,13 +31,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = memory
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         pieces = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.opens = np.array([p.startswith("Ġ") for p in pieces])
         self.wide = size > 65536
         #: Added tokens are cut out of the text first: one with white space of its own, or that takes it from its sides, could cross a split.
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.splits = self._byte_level() and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
+        #: Marks at a word's end stand apart from its letters and digits, but for the apostrophe.
+        self.marks = "".join(sorted(set(string.punctuation) - {"'"} - set("".join(t.content for t in added))))
+        self.endings: dict[str, bytes] = {}
 
     def _byte_level(self) -> bool:
         import json
@@ -45,11 +51,31 @@ class Encoder:
         return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False) and not spec.get("normalizer")
 
     def _learn(self, missing: list[str]) -> None:
-        """Encodes pieces in long runs; a run is cut where an id opens with a space."""
+        """Adds pieces that the younger generation lacks.
+
+        A word with marks at its end is its core and the marks.  New cores are encoded in long
+        runs; a run is cut where an id opens with a space.
+        """
         if len(self.known) + len(missing) > self.memory:
-            self.known.clear()
-        for a in range(0, len(missing), 2000):
-            run = missing[a : a + 2000]
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        split = []
+        cores = set()
+        for word in missing:
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+                continue
+            core = word.rstrip(self.marks)
+            if len(core) < len(word) and core and core[-1].isalnum():
+                split.append((word, core))
+            else:
+                core = word
+            if core not in known:
+                cores.add(core)
+        run_of = list(cores)
+        for a in range(0, len(run_of), 2000):
+            run = run_of[a : a + 2000]
             ids = np.array(self.tokenizer.encode(" " + " ".join(run), add_special_tokens=False).ids, dtype="<u4")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(run):
@@ -57,32 +83,41 @@ class Encoder:
             data = ids.tobytes()
             ends = np.append(starts[1:], len(ids))
             for word, x, y in zip(run, (4 * starts).tolist(), (4 * ends).tolist()):
-                self.known[word] = data[x:y]
+                known[word] = data[x:y]
+        for word, core in split:
+            known[word] = known[core] + self._ending(word[len(core) :])
+
+    def _ending(self, marks: str) -> bytes:
+        if marks not in self.endings:
+            if len(self.endings) > 10_000:
+                self.endings.clear()
+            self.endings[marks] = self._plain([marks])[0]
+        return self.endings[marks]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return self._plain(texts)
         cut = [_PIECES.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
         # What stands before the first such space has no space of its own.
-        heads = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)]
+        heads = self._plain([c[0] for c in cut])
         words = set()
         for c in cut:
             words.update(c[1:])
         # A piece with an ordinary space inside (odd white space) can't be cut out of a run.
-        odd = {w for w in words if " " in w}
-        missing = [w for w in words if w not in self.known and w not in odd]
-        rare: dict[str, bytes] = {}
+        odd = [w for w in words if " " in w]
+        words.difference_update(odd)
+        missing = list(words - self.known.keys())
+        if len(self.known) + len(missing) > self.memory:
+            missing = list(words)
         if missing:
-            held = self.known
-            if len(held) + len(missing) > self.memory:
-                missing = [w for w in words if w not in odd]
             self._learn(missing)
-        if odd:
-            listed = list(odd)
-            rare = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(listed, self.tokenizer.encode_batch_fast([" " + w for w in listed], add_special_tokens=False))}
         get = self.known.__getitem__
-        if not rare:
+        if not odd:
             return [h + b"".join(map(get, c[1:])) for h, c in zip(heads, cut)]
+        rare = dict(zip(odd, self._plain([" " + w for w in odd])))
         return [h + b"".join([rare[w] if w in rare else get(w) for w in c[1:]]) for h, c in zip(heads, cut)]
 
 
