@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, blocks, grouped, narrow, staged, utf8
+from .common import NULL_ID, blocks, grouped, narrow, packed, staged, summed, utf8
 from .components import components
 from .signature_tree import Node, bitmap, build, dual_join
 from .text import mix64, shingles
@@ -39,23 +39,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
             total += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
         yield packed(total)
 
-    def packed(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["counts"])
-
-    def unpack(data: bytes) -> np.ndarray:
-        return np.frombuffer(zstandard.decompress(data), dtype=np.int64)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
-            for data in batch.column("counts").to_pylist():
-                total = total + unpack(data)
-        yield packed(total)
-
-    parts = docs.select("text").mapInArrow(count, "counts binary")
-    for n in (64, 8):
-        parts = parts.repartition(n).mapInArrow(add, "counts binary")
-    return sum((unpack(r["counts"]) for r in parts.collect()), np.zeros(SLOTS, dtype=np.int64))
+    return summed(docs.select("text").mapInArrow(count, "counts binary"), SLOTS)
 
 
 def _identity(s: np.ndarray) -> int:

@@ -10,9 +10,13 @@ from .common import documents
 from .exact_dedup import exact_groups
 from .fingerprints import document_fingerprints
 from .jaccard import similarity_components
+from .language import language_table
 from .packing import pack
+from .quality import resample
 from .repeats import repeat_digests
+from .token_counts import token_counts
 from .token_files import token_round_trip
+from .viterbi import encode_decode
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +25,18 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(documents(spark, sf_dir))
 
 
+def op2_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_table(documents(spark, sf_dir))
+
+
+def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -54,8 +70,24 @@ FROM n
 """
 
 
+def op10_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array, op5_packing, op6_signature_tree, op7_winnowing, op8_bit_planes, op9_exact_dedup)}
+    own = (
+        op1_suffix_array,
+        op2_trie_counts,
+        op3_language,
+        op4_resampling,
+        op5_packing,
+        op6_signature_tree,
+        op7_winnowing,
+        op8_bit_planes,
+        op9_exact_dedup,
+        op10_viterbi,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

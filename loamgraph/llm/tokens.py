@@ -109,7 +109,7 @@ class Encoder:
         # A piece with an ordinary space inside (odd white space) can't be cut out of a run.
         odd = [w for w in words if " " in w]
         words.difference_update(odd)
-        missing = list(words - self.known.keys())
+        missing = [w for w in words if w not in self.known]
         if len(self.known) + len(missing) > self.memory:
             missing = list(words)
         if missing:
