@@ -64,8 +64,9 @@ def _segments(length: int):
             for did, th, packed, size, at, owner in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "z", "n_bytes", "ats", "owners"))):
                 text = press.decompress(packed, max_output_size=size) if size else b""
                 at, owner = np.array(at, dtype=np.int64), np.array(owner, dtype=np.int64)
-                order = np.argsort(at)
-                at, owner = at[order], owner[order]
+                # Repeated rows collected their places together: a place counts once, and the row as often as it is there.
+                at, once = np.unique(at, return_index=True)
+                owner = owner[once]
                 lo = at >> 16
                 hi = lo + (at & 0xFFFF)
                 new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (lo[1:] != hi[:-1] + 1)]))
@@ -167,9 +168,7 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     # Documents that no gram points to leave here; the texts of the others are kept, compressed.
     pressed = base.mapInArrow(press, "did long, th long, z binary, n_bytes long")
     suspects = staged(pressed.join(marked, ["did", "th"]), "suspects")
-    # Repeated rows collected their places together: a place counts once, and the row as often as it is there.
-    suspects_once = suspects.withColumn("marks", F.array_distinct(F.arrays_zip("ats", "owners"))).select("did", "th", "z", "n_bytes", F.col("marks.ats").alias("ats"), F.col("marks.owners").alias("owners"))
-    parts = suspects_once.mapInArrow(_segments(length), "bucket long, part binary, did long, th long, start long, bytes binary")
+    parts = suspects.mapInArrow(_segments(length), "bucket long, part binary, did long, th long, start long, bytes binary")
     texts = staged(parts.groupBy("bucket", "part").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies")), "bucket-texts")
     large = staged(texts.groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > bucket_bytes).select("bucket"), "large-buckets")
     some_large = not large.isEmpty()
