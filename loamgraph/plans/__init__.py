@@ -1 +1,12 @@
-"""plans of the library."""
+"""Queries of the library over the driver's tables."""
+
+from __future__ import annotations
+
+from .registry import QUERIES, SQL
+
+
+def load() -> tuple[dict, dict]:
+    """All registered queries and their SQL."""
+    from . import basic, graph, models, surface, timeline  # noqa: F401
+
+    return QUERIES, SQL

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PROBES = "id string, city string, country string, latitude double, longitude double"
-NETWORK = T.StructType.fromDDL(
+NETWORK = (
     "nodes array<struct<id: string, latitude: double, longitude: double>>,"
     "links array<struct<source_id: string, target_id: string, rtt: double>>,"
     "delays array<struct<source_id: string, target_id: string, rtt: double>>,"
