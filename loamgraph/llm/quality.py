@@ -123,7 +123,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int =
         kept = F.lit(False)
     else:
         t, more = threshold(scored, "place", k)
-        tied = scored.where(F.col("place") == F.lit(t)).select((-F.col("did") - 1).alias("low"))
+        tied = scored.where(F.col("place") == F.lit(t)).select(F.bitwise_not("did").alias("low"))
         low, _ = threshold(tied, "low", more)
         kept = (F.col("place") > F.lit(t)) | ((F.col("place") == F.lit(t)) & (F.col("did") <= F.lit(-low - 1)))
     return scored.select(F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id"), "log_weight", "sort_key", kept.alias("kept"))
