@@ -510,3 +510,41 @@ def infer_routes(n: int, edges: list[tuple[int, int]], bounds: np.ndarray, rtts:
             break
         latency = new
     return best
+
+
+def augmented_curvature(n: int, edges: list[tuple[int, int]], alpha: float = 0.0) -> list[float]:
+    """Edge curvature where each end sees the other only through a copy of it that hangs on the end itself.
+
+    The copy (x, y) lies d(x, y) beyond x, so the shares of x and y for each other travel over both ends.
+    """
+    distance = hop_distances(n, edges)
+    near: list[list[int]] = [[] for _ in range(n)]
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    out = []
+    for a, b in edges:
+        sides = []
+        for x, y in ((a, b), (b, a)):
+            # Places as (node, extra length beyond it).
+            places = [(z, 0.0) for z in near[x] if z != y] + [(x, distance[x, y])]
+            masses = [(1 - alpha) / len(places)] * len(places)
+            sides.append(([*places, (x, 0.0)], np.array([*masses, alpha])))
+        cost = np.array([[distance[p, q] + s + t for q, t in sides[1][0]] for p, s in sides[0][0]])
+        d = distance[a, b]
+        out.append((1 - transport_cost(sides[0][1], sides[1][1], cost) / d) / (1 - alpha))
+    return out
+
+
+def commute_distances(n: int, edges: list[tuple[int, int]], weights: list[float] | None = None) -> np.ndarray:
+    """Mean steps of a random walk from each node to each other and back, by the Laplacian's pseudo-inverse; inf if apart."""
+    lap = np.zeros((n, n))
+    for k, (a, b) in enumerate(edges):
+        w = 1.0 if weights is None else float(weights[k])
+        lap[a, a] += w
+        lap[b, b] += w
+        lap[a, b] -= w
+        lap[b, a] -= w
+    inverse = np.linalg.pinv(lap)
+    spread = np.diag(inverse)[:, None] + np.diag(inverse)[None, :] - 2 * inverse
+    return np.where(np.isfinite(hop_distances(n, edges)), spread * np.trace(lap), np.inf)

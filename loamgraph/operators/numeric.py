@@ -175,3 +175,31 @@ def inferred_routes(edges: DataFrame, rtts: DataFrame, by: str, rounds: int = 6)
 
     kind = dict(edges.dtypes)
     return edges.groupBy(by).cogroup(rtts.groupBy(by)).applyInPandas(run, f"{by} {kind[by]}, s {kind['a']}, t {kind['a']}, route array<long>, fitted double, r2 double")
+
+
+def augmented_ricci(edges: DataFrame, by: str, alpha: float = 0.0) -> DataFrame:
+    """by, a, b, curvature on the graph with a copy of each neighbour hung on every node."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b"])
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        place = {x: k for k, x in enumerate(names)}
+        values = N.augmented_curvature(len(names), [(place[a], place[b]) for a, b in zip(pdf["a"], pdf["b"])], alpha)
+        return pd.DataFrame({by: pdf[by].to_numpy(), "a": pdf["a"].to_numpy(), "b": pdf["b"].to_numpy(), "curvature": values})
+
+    kind = dict(edges.dtypes)
+    return edges.select(by, "a", "b").groupBy(by).applyInPandas(run, f"{by} {kind[by]}, a {kind['a']}, b {kind['b']}, curvature double")
+
+
+def commute(edges: DataFrame, by: str) -> DataFrame:
+    """by, s, t, steps: commute times of all connected pairs."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        place = {x: k for k, x in enumerate(names)}
+        d = N.commute_distances(len(names), [(place[a], place[b]) for a, b in zip(pdf["a"], pdf["b"])])
+        rows = [(pdf[by].iloc[0], names[i], names[j], d[i, j]) for i in range(len(names)) for j in range(len(names)) if np.isfinite(d[i, j])]
+        return pd.DataFrame(rows, columns=[by, "s", "t", "steps"])
+
+    kind = dict(edges.dtypes)
+    return edges.select(by, "a", "b").groupBy(by).applyInPandas(run, f"{by} {kind[by]}, s {kind['a']}, t {kind['a']}, steps double")

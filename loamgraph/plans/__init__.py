@@ -7,6 +7,6 @@ from .registry import QUERIES, SQL
 
 def load() -> tuple[dict, dict]:
     """All registered queries and their SQL."""
-    from . import basic, graph, models, surface, timeline  # noqa: F401
+    from . import basic, graph, models, more, surface, timeline  # noqa: F401
 
     return QUERIES, SQL

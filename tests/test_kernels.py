@@ -83,3 +83,14 @@ def test_routes_explain_round_trips():
     edges = [(0, 1), (1, 2), (0, 2)]
     routes, latency, r2 = K.infer_routes(3, edges, np.array([1.0, 1.0, 5.0]), {(0, 1): 2.0, (1, 2): 3.0, (0, 2): 5.0})
     assert (latency >= np.array([1.0, 1.0, 5.0]) - 1e-9).all() and r2 > 0.99 and routes[0, 1] == [0, 1]
+
+
+@pytest.mark.parametrize("n", [4, 5, 6])
+def test_augmented_complete_graphs(n):
+    edges = list(itertools.combinations(range(n), 2))
+    assert np.allclose(K.augmented_curvature(n, edges), (n - 4) / (n - 1))
+
+
+def test_commute_on_a_path():
+    d = K.commute_distances(3, [(0, 1), (1, 2)])
+    assert np.allclose(d, [[0, 4, 8], [4, 0, 4], [8, 4, 0]])
