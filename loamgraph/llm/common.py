@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -113,3 +116,19 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
     for n in (64, 8):
         parts = parts.repartition(n).mapInArrow(add, "counts binary")
     return sum((unpack(r["counts"]) for r in parts.collect()), np.zeros(size, dtype=np.int64))
+
+
+#: Stores that Python workers keep between tasks, by operator.
+STORES: dict[str, list[dict]] = {}
+
+
+def release(keep: str = "") -> None:
+    """Empties what other operators have left in this worker, and gives the memory back where the C library can."""
+    held = [store for name, stores in STORES.items() if name != keep for store in stores if store]
+    if not held:
+        return
+    for store in held:
+        store.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, narrow, packed, staged, summed, utf8
+from .common import blocks, narrow, packed, release, staged, summed, utf8
 from .text import LOWER
 
 SLOTS = 1 << 16
@@ -128,6 +128,7 @@ def identify(docs: DataFrame, model: Model, host_col: str | None = "source", id_
     base = base.select("doc_id", F.xxhash64("text").alias("th"), "host", "suffix", declared.alias("declared"), "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in blocks(batches, "text", 1_000_000):
             scores, n = text_scores(model, utf8(batch.column("text")))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel()))

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, blocks, narrow, staged, utf8
+from .common import NULL_ID, blocks, narrow, release, staged, utf8
 from .suffix import repeated_starts
 from .text import BYTE_VALUE
 from .winnow import window_minima
@@ -41,6 +41,7 @@ def _anchors(length: int):
     k = gram_width(length)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in blocks(batches, "text", 1_000_000):
             raw = utf8(batch.column("text"))
             sizes = np.array([len(r) for r in raw], dtype=np.int64)
@@ -92,6 +93,7 @@ def _sort_buckets(length: int):
     """Rows sorted by bucket: marks the repeated runs of each distinct text of each bucket."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple[int, bytes, bytes, int]] = []
         size = 0
 

@@ -13,6 +13,8 @@ import string
 
 import numpy as np
 
+from .common import STORES
+
 _ODD_SPACE = re.compile(r" (?=\s)| $", re.UNICODE)
 _PIECES = re.compile(r" (?=\S)", re.UNICODE)
 
@@ -24,7 +26,7 @@ class Encoder:
     goes and pieces still in use move over.  Forgetting costs time only.
     """
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -122,6 +124,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+STORES["tokens"] = [_encoders]
 
 
 def encoder(path: str) -> Encoder:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, narrow
+from .common import STORES, blocks, narrow, release
 from .pieces import SPACE, Pieces, default_path, pieces
 from .text import mix64
 
@@ -146,6 +146,7 @@ class Viterbi:
 
 
 _coders: dict[str, Viterbi] = {}
+STORES["viterbi"] = [_coders]
 
 
 def coder(path: str) -> Viterbi:
@@ -164,6 +165,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, id_col: str = "doc_
     path = model or default_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("viterbi")
         own = coder(path)
         for batch in blocks(batches, "text", 2_000_000):
             texts = batch.column("text").to_pylist()
