@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, blocks, grouped, narrow, packed, staged, summed, utf8
+from .common import NULL_ID, blocks, grouped, narrow, packed, release, staged, summed, utf8
 from .components import components
 from .signature_tree import Node, bitmap, build, dual_join
 from .text import mix64, shingles
@@ -49,6 +49,7 @@ def _identity(s: np.ndarray) -> int:
 
 def _describe(width: int, percent: int, sketch):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = sketch.value
         for batch in blocks(batches, "text", 1_000_000):
             sets = shingles(utf8(batch.column("text")), width)
@@ -176,6 +177,18 @@ def _dealt(rows: DataFrame, key: Column, width: int, percent: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_links(width, percent), "a long, b long")
 
 
+def _round(rows: DataFrame, lengths: DataFrame, texts: DataFrame, known: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """Links within the blocks of each bucket, given what is connected already.  rows: bucket, cid, n."""
+    blocks_of = staged(_blocks(rows.join(lengths, ["cid", "n"]), ["bucket"], "blocks"), "blocks")
+    met = rows.join(blocks_of, "bucket")
+    if known is None:
+        met = met.withColumn("component", F.col("cid"))
+    else:
+        met = met.join(known, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
+    met = met.select("cid", "n", "component", F.xxhash64("bucket", _block("blocks", 1)).alias("key")).join(texts, ["cid", "n"])
+    return staged(_dealt(met, F.col("key"), width, percent), "links")
+
+
 def _block(n: str, seed: int) -> Column:
     return F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n))
 
@@ -220,14 +233,22 @@ def similarity_components(docs: DataFrame, width: int = 3, percent: int = 90, id
 
     wanted = hopeful.select("cid", "n").distinct()
     texts = staged(base.select("text").mapInArrow(press, "cid long, n long, z binary, n_bytes long").join(wanted, ["cid", "n"]).groupBy("cid", "n").agg(F.max(F.struct("z", "n_bytes")).alias("t")).select("cid", "n", "t.z", "t.n_bytes"), "texts")
-    met = hopeful.join(texts, ["cid", "n"])
-    counted = staged(_blocks(hopeful.join(texts.select("cid", "n", "n_bytes"), ["cid", "n"]), ["bucket"], "blocks"), "blocks")
-    first = _dealt(met.join(counted, "bucket").withColumn("component", F.col("cid")), F.xxhash64("bucket", _block("blocks", 1)), width, percent)
-    links = staged(first, "first-links")
-    cut = counted.where("blocks > 1").select("bucket")
+    lengths = texts.select("cid", "n", "n_bytes")
+    # First, each set goes to two of its buckets only: that connects most of what is alike.
+    counted = hopeful.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
+    chosen = hopeful.join(counted, "bucket").groupBy("cid", "n").agg(F.max(F.struct("members", "bucket")).alias("top"), F.min("bucket").alias("low"))
+    chosen = staged(chosen.select("cid", "n", F.explode(F.array_distinct(F.array("top.bucket", "low"))).alias("bucket")), "chosen")
+    links = _round(chosen, lengths, texts, None, width, percent)
+    # Then only buckets that still hold different components are joined whole.
+    known = components(links)
+    named = hopeful.join(known, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    mixed = staged(named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "mixed")
+    left = staged(hopeful.join(mixed, "bucket", "left_semi"), "left")
+    links = links.unionByName(_round(left, lengths, texts, known, width, percent))
+    sizes = staged(_blocks(left.join(lengths, ["cid", "n"]), ["bucket"], "blocks"), "blocks")
+    cut = sizes.where("blocks > 1").select("bucket")
     if not cut.isEmpty():
-        known = components(links)
-        links = links.unionByName(staged(_across(met.join(cut, "bucket", "left_semi"), known, width, percent), "cross-links"))
+        links = links.unionByName(staged(_across(left.join(cut, "bucket", "left_semi").join(texts, ["cid", "n"]), components(links), width, percent), "cross-links"))
     linked = components(links)
     # A class without links keeps its own smallest id.
     classes = staged(sets.groupBy("cid", "n").agg(F.min("did").alias("rep")).join(linked, F.col("cid") == F.col("node"), "left").select("cid", "n", "rep", "component"), "classes")
