@@ -20,7 +20,7 @@ from .common import blocks, narrow, packed, release, staged, summed, utf8
 from .text import LOWER
 
 SLOTS = 1 << 16
-#: Labelled rows that a model is fitted on: those with the smallest hashes of id and text.
+#: Labelled rows of each language that a model is fitted on, about: those with small hashes of id and text.
 SAMPLE_ROWS = 4000
 #: A text counts as this many independent trigrams at most.
 TEXT_WEIGHT = 200.0
@@ -48,10 +48,19 @@ def _slots(buf: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Trigram tables from at most `sample_rows` labelled documents, whole texts, counted on the executors."""
+    """Trigram tables of every labelled language, whole texts, counted on the executors.
+
+    A language of at most `sample_rows` labelled rows gives all of them; of a larger one each row is taken with a chance of
+    `sample_rows` to its rows, by the hash of id and text, so that about `sample_rows` are.  Rows equal in id and text count once.
+    """
     rows = docs.select(F.lower(docs[lang_col].cast("string")).alias("lang"), docs[text_col].cast("string").alias("text"), docs[id_col].cast("long").alias("doc_id")).where("lang is not null and lang <> '' and text is not null")
-    sample = staged(rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "lang").limit(sample_rows).select("lang", "text"), "language-sample")
-    languages = tuple(sorted(r["lang"] for r in sample.select("lang").distinct().collect()))
+    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = tuple(sorted(sizes))
+    # One row per language: the hashes, as 53 bits, that are taken lie below its limit.
+    limits = docs.sparkSession.createDataFrame([(x, min(2**53, 2**53 * sample_rows // n)) for x, n in sizes.items()], "lang string, below long")
+    taken = rows.join(F.broadcast(limits), "lang").where(F.shiftrightunsigned("h", 11) < F.col("below"))
+    sample = staged(taken.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text"), "language-sample")
     size = max(1, len(languages)) * SLOTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,3 +73,16 @@ def test_resampling_edges(spark):
     rows = resample(table(spark, awkward(random.Random(2))), labels, keep=0.5).collect()
     assert sum(r.kept for r in rows) == -(-len(rows) // 2)
     assert len(resample(table(spark, ["a", "a", None], [None, 1, 1]), labels.limit(0)).collect()) == 3
+
+
+def test_rare_languages_are_fitted(spark):
+    common = [(i, f"the common words of row {i} and nothing else", "en", "s") for i in range(600)]
+    rare = [(1000 + i, "ŋŵâ ẑôŧ ĝĥĵ " * 20 + str(i), "xx", "s") for i in range(3)]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, lang string, source string")
+    model = fit(docs, sample_rows=20)
+    assert model.languages == ("en", "xx")
+    found = {r.doc_id: r for r in identify(docs, model).collect()}
+    assert all(found[1000 + i].language == "xx" and found[1000 + i].accepted for i in range(3))
+    # Identical rows don't keep a language out, whichever side of the limit their hash falls on.
+    copies = spark.createDataFrame([(None, "ŋŵâ ẑôŧ ĝĥĵ " * 20, "xx", "s")] * 500 + common, "doc_id long, text string, lang string, source string")
+    assert identify(copies, fit(copies, sample_rows=20)).where("doc_id is null and language = 'xx' and accepted").count() == 500
