@@ -3,7 +3,7 @@
 Which texts have to meet in a suffix array is found by winnowing: each string of
 `length` bytes has one chosen gram, the same wherever the string stands.  A gram
 that stands once in the corpus can't belong to a repeated string; the text around the
-others goes to the bucket of the smallest document id with that gram.  A bucket's texts,
+others goes to the bucket of the smallest document key with that gram.  A bucket's texts,
 identical ones once, are sorted by the two-stage suffix sort, and neighbours that
 share `length` bytes mark what is repeated.
 """
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, blocks, narrow, release, staged, utf8
@@ -50,7 +50,7 @@ def _anchors(length: int):
             take = pa.array(doc)
             # One long for the first start and the number of starts after it, which is less than the length.
             at = (lo << 16) | (hi - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("did").take(take), batch.column("th").take(take), pa.array(at)], names=["gram", "did", "th", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("k1").take(take), batch.column("k2").take(take), pa.array(at)], names=["gram", "k1", "k2", "at"])
 
     return anchors
 
@@ -62,7 +62,7 @@ def _segments(length: int):
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             rows: list[tuple] = []
-            for did, th, packed, size, at, owner in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "z", "n_bytes", "ats", "owners"))):
+            for k1, k2, packed, size, at, owner in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "z", "n_bytes", "ats", "owners"))):
                 text = press.decompress(packed, max_output_size=size) if size else b""
                 at, owner = np.array(at, dtype=np.int64), np.array(owner, dtype=np.int64)
                 # Repeated rows collected their places together: a place counts once, and the row as often as it is there.
@@ -73,10 +73,10 @@ def _segments(length: int):
                 new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (lo[1:] != hi[:-1] + 1)]))
                 for a, b, own in zip(lo[new].tolist(), hi[np.append(new[1:], len(at)) - 1].tolist(), owner[new].tolist()):
                     part = text[a : b + length]
-                    rows.append((own, xxhash.xxh3_128_digest(part), did, th, a, part))
+                    rows.append((own, xxhash.xxh3_128_digest(part), k1, k2, a, part))
             if rows:
                 types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "part", "did", "th", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "part", "k1", "k2", "start", "bytes"])
 
     return segments
 
@@ -149,28 +149,33 @@ def _by_string(texts: DataFrame, length: int) -> DataFrame:
     return rows.join(repeated, "s").groupBy("bucket", "part").agg(F.collect_list("start").alias("starts")).mapInArrow(runs, MARKS)
 
 
+def document_key(doc_id: Column, text: Column) -> list[Column]:
+    """The 128 bits that a document goes by, as two longs: its id (null: NULL_ID) and text, hashed under two seeds."""
+    did = F.coalesce(doc_id.cast("long"), F.lit(NULL_ID))
+    return [F.xxhash64(did, text).alias("k1"), F.xxhash64(F.lit(1), did, text).alias("k2")]
+
+
 def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(texts, cuts): all documents as (did, th, text), and for those that lose bytes (did, th, n_removed, n_spans, rest).
+    """(texts, cuts): all documents as (doc_id, k1, k2, text), and for those that lose bytes (k1, k2, n_removed, n_spans, rest).
 
-    `did` is the id (null: the smallest long) and `th` 24 bits of the text's hash; rows
-    with the same id and different texts are different documents.
+    `k1` and `k2` are the document's key; rows with the same id and different texts are different documents.
     """
-    base = narrow(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.xxhash64("text").bitwiseAND(F.lit(2**24 - 1)).alias("th"), "text")
+    base = narrow(docs, id_col, text_col).select("doc_id", *document_key(F.col("doc_id"), F.col("text")), "text")
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             raw = utf8(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array([squeeze.compress(r) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=["did", "th", "z", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([squeeze.compress(r) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=["k1", "k2", "z", "n_bytes"])
 
     packed = F.struct("at", "bucket")
-    anchors = staged(base.mapInArrow(_anchors(length), "gram long, did long, th long, at long"), "anchors")
-    buckets = staged(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("bucket")).where("n > 1").drop("n"), "buckets")
-    marked = anchors.join(buckets, "gram").groupBy("did", "th").agg(F.collect_list(packed).alias("marks")).select("did", "th", F.col("marks.at").alias("ats"), F.col("marks.bucket").alias("owners"))
+    anchors = staged(base.mapInArrow(_anchors(length), "gram long, k1 long, k2 long, at long"), "anchors")
+    buckets = staged(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("bucket")).where("n > 1").drop("n"), "buckets")
+    marked = anchors.join(buckets, "gram").groupBy("k1", "k2").agg(F.collect_list(packed).alias("marks")).select("k1", "k2", F.col("marks.at").alias("ats"), F.col("marks.bucket").alias("owners"))
     # Documents that no gram points to leave here; the texts of the others are kept, compressed.
-    pressed = base.mapInArrow(press, "did long, th long, z binary, n_bytes long")
-    suspects = staged(pressed.join(marked, ["did", "th"]), "suspects")
-    parts = suspects.mapInArrow(_segments(length), "bucket long, part binary, did long, th long, start long, bytes binary")
+    pressed = base.mapInArrow(press, "k1 long, k2 long, z binary, n_bytes long")
+    suspects = staged(pressed.join(marked, ["k1", "k2"]), "suspects")
+    parts = suspects.mapInArrow(_segments(length), "bucket long, part binary, k1 long, k2 long, start long, bytes binary")
     texts = staged(parts.groupBy("bucket", "part").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies")), "bucket-texts")
     large = staged(texts.groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > bucket_bytes).select("bucket"), "large-buckets")
     some_large = not large.isEmpty()
@@ -179,15 +184,15 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     if some_large:
         marks = marks.unionByName(_by_string(texts.join(large, "bucket", "left_semi"), length))
     marks = staged(marks, "marks")
-    places = parts.select("bucket", "part", "did", "th", "start").distinct().join(marks, ["bucket", "part"])
-    spans = places.select("did", "th", F.explode(F.arrays_zip(F.transform("froms", lambda x: x + F.col("start")).alias("a"), F.transform("tos", lambda x: x + F.col("start")).alias("b"))).alias("span"))
-    per_doc = spans.groupBy("did", "th").agg(F.collect_list("span").alias("spans"))
+    places = parts.select("bucket", "part", "k1", "k2", "start").distinct().join(marks, ["bucket", "part"])
+    spans = places.select("k1", "k2", F.explode(F.arrays_zip(F.transform("froms", lambda x: x + F.col("start")).alias("a"), F.transform("tos", lambda x: x + F.col("start")).alias("b"))).alias("span"))
+    per_doc = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for did, th, z, size, spans in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "z", "n_bytes", "spans"))):
+            for k1, k2, z, size, spans in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "z", "n_bytes", "spans"))):
                 text = expand.decompress(z, max_output_size=size) if size else b""
                 removed, runs, at, kept = 0, 0, 0, []
                 for a, b in sorted((s["a"], s["b"]) for s in spans):
@@ -199,11 +204,11 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
                         removed += max(0, b - at)
                     at = max(at, b)
                 kept.append(text[at:])
-                rows.append((did, th, removed, runs, b"".join(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["did", "th", "n_removed", "n_spans", "rest"])
+                rows.append((k1, k2, removed, runs, b"".join(kept)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "n_removed", "n_spans", "rest"])
 
-    once = suspects.dropDuplicates(["did", "th"]).select("did", "th", "z", "n_bytes")
-    cuts = once.join(per_doc, ["did", "th"]).mapInArrow(cut, "did long, th long, n_removed long, n_spans long, rest binary")
+    once = suspects.dropDuplicates(["k1", "k2"]).select("k1", "k2", "z", "n_bytes")
+    cuts = once.join(per_doc, ["k1", "k2"]).mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, rest binary")
     return base, cuts
 
 
@@ -216,10 +221,10 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     with a null id; an empty table gives an empty result.
     """
     base, cuts = removals(docs, length, id_col, text_col, bucket_bytes)
-    all_docs = base.select("did", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    lost = cuts.select("did", "th", "n_removed", "n_spans", F.sha2("rest", 256).alias("rest_sha"))
-    return all_docs.join(lost, ["did", "th"], "left").select(
-        F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id"),
+    all_docs = base.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    lost = cuts.select("k1", "k2", "n_removed", "n_spans", F.sha2("rest", 256).alias("rest_sha"))
+    return all_docs.join(lost, ["k1", "k2"], "left").select(
+        "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
@@ -237,12 +242,12 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array([r.decode("utf-8", "ignore") for r in utf8(batch.column("rest"))], pa.string())], names=["_did", "_th", "_rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([r.decode("utf-8", "ignore") for r in utf8(batch.column("rest"))], pa.string())], names=["_k1", "_k2", "_rest"])
 
-    rest = cuts.select("did", "th", "rest").mapInArrow(whole_characters, "_did long, _th long, _rest string")
+    rest = cuts.select("k1", "k2", "rest").mapInArrow(whole_characters, "_k1 long, _k2 long, _rest string")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_k": F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64(text).bitwiseAND(F.lit(2**24 - 1))})
-    joined = keyed.join(rest, (F.col("_k") == F.col("_did")) & (F.col("_h") == F.col("_th")), "left")
+    keyed = docs.withColumns(dict(zip(("_a", "_b"), document_key(docs["doc_id"], text))))
+    joined = keyed.join(rest, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
     new = {"text": F.coalesce("_rest", keyed["text"])}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_rest").isNotNull(), F.length("_rest")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from loamgraph.llm.repeats import drop_repeats, repeat_digests
 from loamgraph.llm.suffix import SEPARATOR, Block, common_prefixes, repeated_starts, suffix_order
@@ -75,3 +76,15 @@ def test_drop_keeps_columns_and_characters(spark):
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {0: ("xyy", 3), 1: ("!ü", 2), 2: ("fine", 4), 3: (None, None)}
+
+
+def test_texts_under_a_null_id_that_share_hash_bits(spark):
+    passage = " ".join(f"w{i}" for i in range(80))
+    low = {xxhash.xxh64_intdigest(f"{passage} tail {i}", 42) & (2**24 - 1): f"{passage} tail {i}" for i in range(20_000)}
+    clean = next(c for c in (f"clean text {j}" for j in range(20_000)) if xxhash.xxh64_intdigest(c, 42) & (2**24 - 1) in low)
+    repeated = low[xxhash.xxh64_intdigest(clean, 42) & (2**24 - 1)]
+    docs = table(spark, [repeated, clean, f"{passage} other end"], [None, None, 1])
+    assert docs.where("doc_id is null").selectExpr("xxhash64(text) & 16777215 h").distinct().count() == 1
+    got = {(r.n_bytes, r.n_removed > 0, r.kept_sha256 == hashlib.sha256(clean.encode()).hexdigest()) for r in repeat_digests(docs).collect()}
+    assert got == {(len(repeated), True, False), (len(clean), False, True), (len(passage) + 10, True, False)}
+    assert clean in {r.text for r in drop_repeats(docs).collect()}
