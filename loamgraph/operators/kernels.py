@@ -205,37 +205,33 @@ def complete_matrix(values: np.ndarray, rounds: int = 20) -> np.ndarray:
     return np.where(~gone & (values != 0), values, np.maximum(low, 0))
 
 
-def changepoints(z: np.ndarray, most: int = 10) -> list[int]:
-    """Starts of segments, each Gaussian with its own mean and variance; their number has the least BIC.
+def changepoints(z: np.ndarray) -> list[int]:
+    """Starts of segments, each Gaussian with its own mean and variance; of all numbers of segments, the least BIC.
 
-    Dynamic programming over prefix sums; a segment has five values at least, so that its variance means something.
+    A single value has a log likelihood of 0, and longer segments of one value only are excluded.  BIC adds 2 ln n for each
+    segment, so that one pass over the ends finds the least over all numbers, in time n * n and memory n.
     """
-    n, few = len(z), 5
-    if n < 2 * few:
+    n = len(z)
+    if n < 2:
         return [0]
+    z = z - z.mean()
     s, q = np.concatenate([[0], np.cumsum(z)]), np.concatenate([[0], np.cumsum(z * z)])
-
-    def cost(i: np.ndarray, j: int) -> np.ndarray:
+    same = np.concatenate([[0], np.maximum.accumulate(np.where(z[1:] != z[:-1], np.arange(1, n), 0))])
+    best, back = np.zeros(n + 1), np.zeros(n + 1, dtype=int)
+    for j in range(1, n + 1):
+        i = np.arange(j)
         m = j - i
-        var = np.maximum((q[j] - q[i]) / m - ((s[j] - s[i]) / m) ** 2, 1e-6)
-        return m * np.log(2 * np.pi * var) + m
-
-    best = np.full((most + 1, n + 1), np.inf)
-    back = np.zeros((most + 1, n + 1), dtype=int)
-    best[0, 0] = 0
-    for k in range(1, most + 1):
-        for j in range(few * k, n + 1):
-            i = np.arange(few * (k - 1), j - few + 1)
-            total = best[k - 1, i] + cost(i, j)
-            at = int(total.argmin())
-            best[k, j], back[k, j] = total[at], i[at]
-    ks = np.arange(1, most + 1)
-    k = int((best[1:, n] + 2 * ks * np.log(n)).argmin()) + 1
+        var = (q[j] - q[:j]) / m - ((s[j] - s[:j]) / m) ** 2
+        var[same[j - 1] :] = 0
+        cost = np.where(var > 0, m * (np.log(2 * np.pi * np.where(var > 0, var, 1)) + 1), np.inf)
+        cost[-1] = 0
+        total = best[:j] + cost
+        at = int(total.argmin())
+        best[j], back[j] = total[at] + 2 * np.log(n), at
     cuts, j = [], n
-    while k:
-        j = int(back[k, j])
+    while j:
+        j = int(back[j])
         cuts.append(j)
-        k -= 1
     return cuts[::-1]
 
 

@@ -77,8 +77,7 @@ def matrix_completion(t: Tables) -> DataFrame:
 
 @query()
 def changepoints(t: Tables) -> DataFrame:
-    rows = settled(t).groupBy("key", F.floor(F.col("sec") / 21600).alias("slot")).agg(F.avg("value").alias("value"))
-    return N.segment_means(rows, "key", "slot", "value").select("key", "slot", r6(F.col("level")).alias("level"))
+    return N.segment_means(settled(t), "key", "sec", "value").select("key", "sec", r6(F.col("level")).alias("level"))
 
 
 @query()

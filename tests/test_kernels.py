@@ -94,3 +94,28 @@ def test_augmented_complete_graphs(n):
 def test_commute_on_a_path():
     d = K.commute_distances(3, [(0, 1), (1, 2)])
     assert np.allclose(d, [[0, 4, 8], [4, 0, 4], [8, 4, 0]])
+
+
+def _bic(z, cuts):
+    total = 0.0
+    for a, b in zip(cuts, [*cuts[1:], len(z)]):
+        v = z[a:b].var()
+        total += 0 if b - a == 1 else (b - a) * (np.log(2 * np.pi * v) + 1) if v > 0 else np.inf
+    return total + 2 * len(cuts) * np.log(len(z))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_changepoints_have_the_least_bic(seed):
+    rng = np.random.default_rng(seed)
+    z = rng.normal(0, 1, 9) + 40 * rng.integers(0, 3, 9)
+    every = [[0, *c] for k in range(9) for c in itertools.combinations(range(1, 9), k)]
+    assert abs(_bic(z, K.changepoints(z)) - min(_bic(z, c) for c in every)) < 1e-6
+
+
+def test_more_than_ten_levels():
+    rng = np.random.default_rng(5)
+    levels = np.repeat(np.arange(16) % 2 * 500.0 + np.arange(16) * 40, 20)
+    z = levels + rng.normal(0, 1, len(levels))
+    assert set(range(0, 320, 20)) <= set(K.changepoints(z))
+    assert np.abs(K.segment_means(z) - levels).max() < 4
+    assert K.changepoints(np.full(4, 7.0)) == [0, 1, 2, 3] and K.segment_means(np.full(4, 7.0)).tolist() == [7.0] * 4
