@@ -70,7 +70,7 @@ def shingles(docs: list[bytes], width: int) -> list[np.ndarray]:
     odd = mix64(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(1000003)) | np.uint64(1)
     total = words * odd[0]
     for j in range(1, width):
-        total[: n - j] += words[j:] * odd[j]
+        total[: max(0, n - j)] += words[j:] * odd[j]
     total = mix64(total)
     out = []
     for a, b in zip(before[:-1].tolist(), before[1:].tolist()):

@@ -92,3 +92,11 @@ def test_keep_one(spark):
     out = keep_one(table(spark, texts))
     assert sorted(r.doc_id for r in out.collect()) == [0, 5, 6, 7]
     assert out.columns == table(spark, texts).columns
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 4])
+def test_a_partition_shorter_than_a_shingle(spark, words):
+    text = " ".join("abcd"[:words])
+    assert [len(s) for s in jaccard.shingles([text.encode()], 5)] == [1]
+    docs = table(spark, [text, text + " e f g h"]).repartition(2, "doc_id")
+    assert keep_one(docs, width=5, percent=80).count() == 2
