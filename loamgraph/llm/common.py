@@ -29,6 +29,17 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def document_key(doc_id: Column, text: Column) -> list[Column]:
+    """The 128 bits that a document goes by, as two longs k1 and k2: its id (or that it has none) and text, hashed under two seeds."""
+    did = doc_id.cast("long")
+    return [F.xxhash64(F.lit(seed), did.isNull(), did, text).alias(f"k{seed}") for seed in (1, 2)]
+
+
+def narrow_key(docs: DataFrame) -> DataFrame:
+    """Whole rows as a struct `row` beside their documents' keys in a struct `key`: no name of theirs can clash with others."""
+    return docs.select(F.struct("*").alias("row"), F.struct(*document_key(docs["doc_id"], F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("key"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a new local one only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,10 +1,8 @@
 """Near copies by the Jaccard likeness of word shingles, joined by signature trees.
 
-Two sets that are alike enough share an element among the first few of each, in any
-order common to all sets; frequent elements go last, as a sketch of fixed size tells.  Sets with a
-common first element meet in a bucket.  There a tree over their bitmaps excludes what
-can't be alike; for what is left, the texts come, and a second tree join compares exact sets, skipping
-what is connected already.
+Two sets that are alike enough agree on a whole part of their elements (see `partitions`); sets with a common part
+meet in a bucket.  There their texts come together, and a tree over their bitmaps with size ranges excludes
+pairs that can't be alike; what is left is compared exactly, skipping what is connected already.
 """
 
 from __future__ import annotations
@@ -17,94 +15,38 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, blocks, grouped, narrow, packed, release, staged, summed, utf8
+from .common import blocks, document_key, grouped, narrow, narrow_key, release, staged, utf8
 from .components import components
+from .partitions import signatures
 from .signature_tree import Node, bitmap, build, dual_join
 from .text import mix64, shingles
 
-#: Slots of the frequency sketch; its size never depends on the data.
-SLOTS = 1 << 18
 #: Sets and bytes of text that meet in one task; larger buckets are cut into blocks.
 BLOCK_SETS = 512
 BLOCK_BYTES = 24_000_000
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many sets have an element of each slot; partial sketches are added up in a tree."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
-        for batch in blocks(batches, "text", 1_000_000):
-            sets = shingles(utf8(batch.column("text")), width)
-            total += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
-        yield packed(total)
-
-    return summed(docs.select("text").mapInArrow(count, "counts binary"), SLOTS)
-
-
 def _identity(s: np.ndarray) -> int:
     """A set's 64-bit name; with its size it stands for the set."""
     return int(np.add.reduce(mix64(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.uint64).view(np.int64)) if len(s) else 0
 
 
-def _describe(width: int, percent: int, sketch):
+def _describe(width: int, percent: int):
+    """Each document's set by name and size, and its parts' signatures."""
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        counts = sketch.value
         for batch in blocks(batches, "text", 1_000_000):
             sets = shingles(utf8(batch.column("text")), width)
-            names, sizes, bits, firsts = [], [], [], []
-            for s in sets:
-                n = len(s)
-                names.append(_identity(s))
-                sizes.append(n)
-                if not n:
-                    bits.append(b"")
-                    firsts.append([])
-                    continue
-                b = bitmap(s)
-                bits.append(b.to_bytes(-(-b.bit_length() // 8), "little"))
-                most = n + percent * -n // 100 + 1
-                order = np.lexsort((s, counts[(s >> np.uint64(46)).astype(np.int64)]))[:most]
-                firsts.append((s[order] >> np.uint64(14)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int32()))], names=["did", "cid", "n", "bits", "firsts"])
+            owner, found = signatures(sets, percent)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.view(np.int64)))
+            names, sizes = pa.array([_identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("did"), names, sizes, tokens], names=["k1", "k2", "did", "cid", "n", "tokens"])
 
     return describe
 
 
-def _promising(percent: int):
-    """Of each bucket, the sets that some other may be alike to, by the bitmaps."""
-
-    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
-        for table in grouped(batches, "bucket"):
-            bucket = table.column("bucket")[0].as_py()
-            cids, sizes = table.column("cid").to_pylist(), table.column("n").to_pylist()
-            bitmaps = [int.from_bytes(b, "little") for b in table.column("bits").to_pylist()]
-            found = [False] * len(cids)
-
-            def visit(i: int, j: int) -> None:
-                found[i] = found[j] = True
-
-            def all_found(x: Node) -> bool:
-                if not x.done:
-                    x.done = all(map(all_found, x.below)) if x.below else found[x.item]
-                return x.done
-
-            dual_join(build(sizes, bitmaps), percent, visit, lambda x, y: all_found(x) and all_found(y))
-            out += [(bucket, c, n) for c, n, f in zip(cids, sizes, found) if f]
-            if len(out) > 20_000:
-                yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
-
-    def _rows(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["bucket", "cid", "n"])
-
-    return promising
-
-
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * shared >= percent * union, of sorted distinct hashes."""
     if len(a) > len(b):
@@ -193,70 +135,67 @@ def _block(n: str, seed: int) -> Column:
     return F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n))
 
 
-def similarity_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links).
-
-    Documents link when 100 * |shared| >= percent * |union| of their sets of `width`-word shingles.
-    A text with fewer words has the whole sequence as one shingle; one without words (or null) has
-    none and is linked with nothing.  Equal sets are one class from the start.  Rows of one id are
-    separate documents with that id; a null id sorts before all others and comes back as null.  An
-    empty table gives an empty result.
+def similarity_classes(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: did, k1, k2 (its key, see `document_key`), n_shingles, and low: the smallest (did, k1, k2) of its component.
 
     A bucket of more than BLOCK_SETS sets is joined block by block first.  Then, with what is connected by then left
     out, its blocks meet in pairs: sets outside its largest component meet all others.
     """
-    spark = docs.sparkSession
-    base = narrow(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "text")
-    sketch = spark.sparkContext.broadcast(_sketch(base, width))
-    described = staged(base.mapInArrow(_describe(width, percent, sketch), "did long, cid long, n long, bits binary, firsts array<int>"), "described")
+    base = narrow(docs, id_col, text_col).select(F.col("doc_id").alias("did"), *document_key(F.col("doc_id"), F.col("text")), "text")
+    described = staged(base.select("k1", "k2", "did", "text").mapInArrow(_describe(width, percent), "k1 long, k2 long, did long, cid long, n long, tokens array<long>"), "described")
     sets = described.where("n > 0")
-    rows = sets.select(F.explode("firsts").alias("token"), "cid", F.col("n").cast("int").alias("n"))
-    # Elements whose sets are the same give the same bucket; equal sets count as one, by their smallest and largest name.
-    names = F.col("cid").bitwiseAND(F.lit(2**24 - 1))
-    shared = rows.groupBy("token").agg(F.sum(names).alias("s"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token", F.xxhash64("s", "a", "b").alias("bucket"))
-    members = staged(rows.join(staged(shared, "shared"), "token").select("bucket", "cid", F.col("n").cast("long").alias("n")).distinct(), "members")
-    large = staged(members.groupBy("bucket").count().where(F.col("count") > 8 * BLOCK_SETS).select("bucket"), "large")
-    some_large = not large.isEmpty()
-    bits = sets.groupBy("cid", "n").agg(F.max("bits").alias("bits"))
-    small = members.join(large, "bucket", "left_anti") if some_large else members
-    hopeful = small.join(bits, ["cid", "n"]).select("bucket", "cid", "n", "bits").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_promising(percent), "bucket long, cid long, n long")
-    if some_large:
-        hopeful = hopeful.unionByName(members.join(large, "bucket", "left_semi"))
-    hopeful = staged(hopeful, "hopeful")
+    rows = sets.select(F.explode("tokens").alias("token"), "cid", "n")
+    # Signatures whose sets have the same smallest and largest name give the same bucket; equal sets count as one.
+    shared = rows.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token", F.xxhash64("a", "b").alias("bucket"))
+    members = staged(rows.join(staged(shared, "shared"), "token").select("bucket", "cid", "n").distinct(), "members")
+    classes = staged(sets.groupBy("cid", "n").agg(F.min(F.struct("did", "k1", "k2")).alias("rep")), "classes")
+    wanted = classes.join(members.select("cid", "n").distinct(), ["cid", "n"]).select("rep.k1", "rep.k2", "cid", "n")
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in blocks(batches, "text", 1_000_000):
+        for batch in blocks(batches, "text", 4_000_000):
             raw = utf8(batch.column("text"))
-            own = shingles(raw, width)
-            yield pa.RecordBatch.from_arrays([pa.array([_identity(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array([squeeze.compress(r) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=["cid", "n", "z", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([squeeze.compress(r) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=["k1", "k2", "z", "n_bytes"])
 
-    wanted = hopeful.select("cid", "n").distinct()
-    texts = staged(base.select("text").mapInArrow(press, "cid long, n long, z binary, n_bytes long").join(wanted, ["cid", "n"]).groupBy("cid", "n").agg(F.max(F.struct("z", "n_bytes")).alias("t")).select("cid", "n", "t.z", "t.n_bytes"), "texts")
+    pressed = base.select("k1", "k2", "text").mapInArrow(press, "k1 long, k2 long, z binary, n_bytes long")
+    texts = staged(pressed.join(wanted, ["k1", "k2"]).dropDuplicates(["cid", "n"]).select("cid", "n", "z", "n_bytes"), "texts")
     lengths = texts.select("cid", "n", "n_bytes")
     # First, each set goes to two of its buckets only: that connects most of what is alike.
-    counted = hopeful.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-    chosen = hopeful.join(counted, "bucket").groupBy("cid", "n").agg(F.max(F.struct("members", "bucket")).alias("top"), F.min("bucket").alias("low"))
+    counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
+    chosen = members.join(counted, "bucket").groupBy("cid", "n").agg(F.max(F.struct("members", "bucket")).alias("top"), F.min("bucket").alias("low"))
     chosen = staged(chosen.select("cid", "n", F.explode(F.array_distinct(F.array("top.bucket", "low"))).alias("bucket")), "chosen")
     links = _round(chosen, lengths, texts, None, width, percent)
     # Then only buckets that still hold different components are joined whole.
     known = components(links)
-    named = hopeful.join(known, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    named = members.join(known, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("component"))
     mixed = staged(named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "mixed")
-    left = staged(hopeful.join(mixed, "bucket", "left_semi"), "left")
+    left = staged(members.join(mixed, "bucket", "left_semi"), "left")
     links = links.unionByName(_round(left, lengths, texts, known, width, percent))
     sizes = staged(_blocks(left.join(lengths, ["cid", "n"]), ["bucket"], "blocks"), "blocks")
     cut = sizes.where("blocks > 1").select("bucket")
     if not cut.isEmpty():
         links = links.unionByName(staged(_across(left.join(cut, "bucket", "left_semi").join(texts, ["cid", "n"]), components(links), width, percent), "cross-links"))
     linked = components(links)
-    # A class without links keeps its own smallest id.
-    classes = staged(sets.groupBy("cid", "n").agg(F.min("did").alias("rep")).join(linked, F.col("cid") == F.col("node"), "left").select("cid", "n", "rep", "component"), "classes")
-    lowest = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
-    final = staged(classes.join(lowest, "component", "left").select("cid", "n", F.coalesce("low", "rep").alias("low")), "final-classes")
-    out = described.select("did", "cid", "n").join(final, ["cid", "n"], "left").select("did", F.col("n").alias("n_shingles"), F.coalesce("low", "did").alias("low"))
-    null_id = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(null_id("did").alias("doc_id"), "n_shingles", null_id("low").alias("component_id"))
+    # A class without links keeps its own smallest document.
+    placed = staged(classes.join(linked, F.col("cid") == F.col("node"), "left").select("cid", "n", "rep", "component"), "placed")
+    lowest = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
+    final = staged(placed.join(lowest, "component", "left").select("cid", "n", F.coalesce("low", "rep").alias("low")), "final-classes")
+    own = F.struct("did", "k1", "k2")
+    return described.drop("tokens").join(final, ["cid", "n"], "left").select("did", "k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("low", own).alias("low"))
+
+
+def similarity_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links).
+
+    Documents link when 100 * |shared| >= percent * |union| of their sets of `width`-word shingles.
+    A text with fewer words has the whole sequence as one shingle; one without words (or null) has
+    none and is linked with nothing.  Equal sets are one class from the start.  Rows of one id are
+    separate documents with that id; a null id sorts before all others and comes back as null.  Very
+    long texts are sets like others.  An empty table gives an empty result; other columns are not read, whatever
+    their names.
+    """
+    found = similarity_classes(docs, width, percent, id_col, text_col)
+    return found.select(F.col("did").alias("doc_id"), "n_shingles", F.col("low.did").alias("component_id"))
 
 
 def _across(met: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
@@ -278,10 +217,13 @@ def _across(met: DataFrame, known: DataFrame, width: int, percent: int) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` with the smallest id of their component, all columns kept.
+    """The rows of `docs` with the smallest (id, key) of their component, all columns kept.
 
-    Documents without words are linked with nothing and stay.
+    Of documents without an id, or with the same one, the smallest key stays, so that one document of each
+    group does; rows repeated with the same id and text are one document and stay or go together.
+    Documents without words are linked with nothing and stay.  An empty table stays empty.
     """
-    found = similarity_components(docs, width, percent)
-    gone = staged(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti")
+    found = similarity_classes(docs, width, percent)
+    gone = staged(found.where("k1 <> low.k1 or k2 <> low.k2").select("k1", "k2").distinct(), "gone")
+    rows = narrow_key(docs)
+    return rows.join(gone, (rows["key.k1"] == gone["k1"]) & (rows["key.k2"] == gone["k2"]), "left_anti").select("row.*")
