@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, blocks, narrow, staged
+from .common import blocks, narrow, release, staged
 from .text import mix64
 from .tokens import default_path, encoder
 
@@ -79,7 +79,7 @@ class Packer:
     def __init__(self, length: int, first: int):
         self.length, self.sequence = length, first
         self.rows: list[tuple] = []
-        self.open: list[tuple[int, int, np.ndarray, int]] = []
+        self.open: list[tuple[int | None, int, np.ndarray, int]] = []
         self.filled = 0
 
     def add(self, doc: int, ids: np.ndarray) -> None:
@@ -126,23 +126,23 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, curve key and compressed ids (zstandard over little-endian uint16, or uint32 for large vocabularies)."""
+    """doc_id, curve key, number of ids, and the ids compressed (zstandard over little-endian uint16, or uint32 for large vocabularies)."""
     path = tokenizer or default_path()
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("tokens")
         enc = encoder(path)
         press = zstandard.ZstdCompressor(level=1)
-        kind = "<u4" if enc.wide else "<u2"
-        size = max(len(enc.opens), (end_id or 0) + 1)
+        size = max(enc.size, (end_id or 0) + 1)
+        kind = "<u4" if size > 65536 else "<u2"
         for batch in blocks(batches, "text", 2_000_000):
             ids = [np.frombuffer(x + end, dtype="<u4") for x in enc.encode(batch.column("text").to_pylist())]
             rows = [press.compress(x.astype(kind).tobytes()) for x in ids]
             full = [x if len(x) else np.zeros(1, "<u4") for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(full, size)), pa.array(rows, pa.binary())], names=["doc_id", "key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(full, size)), pa.array([len(x) for x in ids], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "key", "n", "ids"])
 
-    base = narrow(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    return base.mapInArrow(encode, "doc_id long, key long, ids binary")
+    return narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, key long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,28 +153,28 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     what a range has left at its end becomes sequences of power-of-two lengths, at
     most 10 of them.  Sequence ids hold the range in their upper bits.
 
-    Null text counts as empty: such a document is its end id alone.  Ties on the
-    curve go by id; repeated rows are packed as often as they come; null ids come
-    back as null.
+    Null text counts as empty: such a document is its end id alone.  A very long text is one row of
+    compressed ids, cut over as many sequences as it fills.  Ties on the curve go by id (null first), then by the
+    ids' bytes; repeated rows are packed as often as they come; null ids come back as null.  An empty table gives an
+    empty result; other columns are not read, whatever their names.
     """
     path = tokenizer or default_path()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(path)
-        kind = "<u4" if enc.wide else "<u2"
+        release()
         press = zstandard.ZstdDecompressor()
         packer = Packer(length, TaskContext.get().partitionId() << 40)
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*packer.taken()))
-            columns[0] = [None if x == NULL_ID else x for x in columns[0]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                packer.add(doc, np.frombuffer(press.decompress(data), dtype=kind))
+            for doc, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids"))):
+                ids = press.decompress(data)
+                packer.add(doc, np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4"))
                 if len(packer.rows) > 20_000:
                     yield out()
         packer.finish()
@@ -182,4 +182,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
             yield out()
 
     table = staged(encoded(docs, path, end_id, id_col, text_col), "encoded")
-    return table.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "ids").mapInArrow(fill, PIECES)
+    return table.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "n", "ids").mapInArrow(fill, PIECES)

@@ -8,7 +8,7 @@ A file, all integers little-endian:
 
 The index, a zstandard frame, holds u64 values: number of blocks, number of documents, then for
 each block its number of ids, and the offset and length of each of its planes; then for each document its id
-and its number of ids.  A block is read by its index entry alone.
+and twice its number of ids, plus one if it has no id.  A block is read by its index entry alone.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, blocks, narrow, staged
+from .common import blocks, narrow, release, staged
 from .tokens import default_path, encoder
 
 MAGIC = b"LGBP"
@@ -38,7 +38,7 @@ def _planes(ids: np.ndarray, planes: int, unit: int) -> list[bytes]:
     return [np.packbits(((ids >> np.uint32(p)) & np.uint32(1)).astype(np.uint8)).tobytes() for p in range(planes)]
 
 
-def write_image(docs: list[tuple[int, bytes]], unit: int = 1, block: int = BLOCK_IDS) -> bytes:
+def write_image(docs: list[tuple[int | None, bytes]], unit: int = 1, block: int = BLOCK_IDS) -> bytes:
     """One file's bytes from (document id, its ids as uint32 bytes) in order."""
     ids = np.frombuffer(b"".join(d for _, d in docs), dtype="<u4")
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
@@ -57,7 +57,7 @@ def write_image(docs: list[tuple[int, bytes]], unit: int = 1, block: int = BLOCK
             at += len(frame)
     count = -(-len(ids) // block)
     for doc, data in docs:
-        index += [doc & (2**64 - 1), len(data) // 4]
+        index += [(doc or 0) & (2**64 - 1), len(data) // 4 * 2 + (doc is None)]
     packed = press.compress(np.array([count, len(docs), *index], dtype="<u8").tobytes())
     return b"".join([*out, packed, struct.pack("<Q", len(packed)), MAGIC])
 
@@ -89,15 +89,15 @@ def _read_block(image: bytes, planes: int, unit: int, entry: np.ndarray, press:
     return ids
 
 
-def read_image(image: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """The documents of a file: id and ids."""
+def read_image(image: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
+    """The documents of a file: id (or None) and ids."""
     planes, unit, table, docs = _index(image)
     press = zstandard.ZstdDecompressor()
     ids = np.concatenate([_read_block(image, planes, unit, e, press) for e in table]) if len(table) else np.empty(0, "<u4")
     at = 0
     for doc, n in zip(docs[:, 0].astype(np.int64).tolist(), docs[:, 1].tolist()):
-        yield doc, ids[at : at + n]
-        at += n
+        yield None if n & 1 else doc, ids[at : at + n // 2]
+        at += n // 2
 
 
 IMAGES = "part long, first_id long, n_ids long, n_docs long, image binary"
@@ -106,9 +106,10 @@ IMAGES = "part long, first_id long, n_ids long, n_docs long, image binary"
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID, unit: int = 1, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """File images of all documents' ids, ascending by document id; order the rows by `part`.
 
-    One row is one file of about `file_ids` ids; a document stays in one file.  Null
-    text counts as empty, a null id stands first (as the smallest long).  Only texts move, once, in
-    ranges of ids; encoding follows, so that range sampling doesn't encode.
+    One row is one file of about `file_ids` ids; a document stays in one file, and one with more ids is a file alone.
+    Null text counts as empty, null ids stand first.  Ties of ids go by their texts; repeated rows are written as often as
+    they come.  An empty table has no files; other columns are not read, whatever their names.  Only texts move, once,
+    in ranges of ids; encoding follows, so that range sampling doesn't encode.
     """
     path = tokenizer or default_path()
     end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -116,9 +117,10 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int | No
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release("tokens")
         part = TaskContext.get().partitionId() << 32
         enc = encoder(path)
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int | None, bytes]] = []
         size = 0
 
         def image() -> pa.RecordBatch:
@@ -136,7 +138,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int | No
         if held:
             yield image()
 
-    base = narrow(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    base = narrow(docs, id_col, text_col)
     return base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, IMAGES)
 
 
@@ -145,19 +147,24 @@ def read_tokens(images: DataFrame, with_ids: bool = False) -> DataFrame:
     schema = "part long, doc_id long, inner long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part, image in zip(batch.column("part").to_pylist(), batch.column("image").to_pylist()):
                 rows: list[list] = [[] for _ in range(5 + with_ids)]
                 at = 0
                 for doc, ids in read_image(image):
-                    for column, value in zip(rows, (part, None if doc == NULL_ID else doc, at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist() if with_ids else None)):
+                    for column, value in zip(rows, (part, doc, at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist() if with_ids else None)):
                         column.append(value)
                     at += len(ids)
                 types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["part", "doc_id", "inner", "n_tokens", "ids_crc32", "ids"][: 5 + with_ids])
 
-    # One row for each file: its ids come after those of all files before.
-    files = images.select("part", (F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")).alias("base"))
+    # A file's ids come after those of all files before: of its own range, and of the ranges before, one row each.
+    counts = images.select("part", F.shiftright("part", 32).alias("range"), "n_ids")
+    ranges = counts.groupBy("range").agg(F.sum("n_ids").alias("held"))
+    ranges = ranges.select("range", (F.sum("held").over(Window.orderBy("range")) - F.col("held")).alias("before"))
+    within = F.sum("n_ids").over(Window.partitionBy("range").orderBy("part")) - F.col("n_ids")
+    files = counts.withColumn("within", within).join(ranges, "range").select("part", (F.col("before") + F.col("within")).alias("base"))
     rows = images.select("part", "image").mapInArrow(read, schema)
     extra = ["ids"] if with_ids else []
     return rows.join(files, "part").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *extra)

@@ -1,12 +1,13 @@
 """Token ids of whole texts, by the tokenizers library, one batch at a time.
 
-A byte-level tokenizer splits before a space that stands before a character
-other than white space, whatever comes before and after.  So the pieces between
-such spaces are encoded once each; most words of a text have been seen before.
+A byte-level tokenizer splits before a space, and around a line feed, that stands before a
+character other than white space, whatever comes before and after.  So the pieces between them
+are encoded once each; most words of a text have been seen before.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -15,18 +16,38 @@ import numpy as np
 
 from .common import STORES
 
-_ODD_SPACE = re.compile(r" (?=\s)| $", re.UNICODE)
+_RARE_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_SPACE = re.compile(r"[ \n](?=\s)|[ \n]\Z", re.UNICODE)
 _PIECES = re.compile(r" (?=\S)", re.UNICODE)
+#: A full stop or comma before white space that doesn't follow a letter or digit: it may belong to a run of marks.
+_LOOSE_MARK = re.compile(r"[.,](?=[ \n])(?<![0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,])")
+#: Letters below this character are letters for every library.
+_KNOWN_LETTERS = "\u0250"
+#: Words that go to the library in one run.
+_RUN = 500
+
+
+def _odd(text: str) -> bool:
+    """Whether a space or line feed stands before white space or at the end."""
+    if "  " in text or "\n" in text and ("\n\n" in text or " \n" in text or "\n " in text):
+        return True
+    return text[-1:] in (" ", "\n") or bool(_RARE_SPACE.search(text) and _ODD_SPACE.search(text))
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level letters of the bytes that don't stand for themselves: they follow 255 in ascending order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - plain))}
 
 
 class Encoder:
     """Ids of texts as little-endian uint32 bytes, the same as `Tokenizer.encode(text, add_special_tokens=False)`.
 
-    `memory` bounds the pieces kept in each of two generations: when the younger is full, the older
-    goes and pieces still in use move over.  Forgetting costs time only.
+    `memory` bounds the pieces kept in each of two generations (about 200 bytes a piece): when the younger
+    is full, the older goes and pieces still in use move over.  Forgetting costs time only.
     """
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,59 +57,96 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         pieces = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.opens = np.array([p.startswith("Ġ") for p in pieces])
-        self.wide = size > 65536
+        self.opens = {" ": np.array([p.startswith("\u0120") for p in pieces]), "\n": np.array([p.startswith("\u010a") for p in pieces])}
+        self.size = size
         #: Added tokens are cut out of the text first: one with white space of its own, or that takes it from its sides, could cross a split.
         added = list(self.tokenizer.get_added_tokens_decoder().values())
-        self.splits = self._byte_level() and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
+        spec = json.loads(self.tokenizer.to_str())
+        self.splits = self._byte_level(spec) and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
         #: Marks at a word's end stand apart from its letters and digits, but for the apostrophe.
         self.marks = "".join(sorted(set(string.punctuation) - {"'"} - set("".join(t.content for t in added))))
         self.endings: dict[str, bytes] = {}
+        self.letters = None
+        if self.splits and not any(t.content.isalpha() for t in added):
+            self.letters = self._letters_only(spec["model"])
+        self.translate = _byte_letters()
 
-    def _byte_level(self) -> bool:
-        import json
-
-        spec = json.loads(self.tokenizer.to_str())
+    def _byte_level(self, spec: dict) -> bool:
         pre = spec.get("pre_tokenizer") or {}
         return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False) and not spec.get("normalizer")
 
-    def _learn(self, missing: list[str]) -> None:
-        """Adds pieces that the younger generation lacks.
+    def _letters_only(self, model: dict):
+        """The same merges for words of letters alone, which the pattern never splits: it needs no pattern and no offsets."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if model.get("type") != "BPE" or not plain or "\u010a" not in model["vocab"]:
+            return None
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        own = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0))
+        own.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        return own
+
+    def _learn(self, missing: set[str]) -> None:
+        """Adds pieces that the younger generation lacks; a piece with a leading line feed has it as an id of its own.
 
         A word with marks at its end is its core and the marks.  New cores are encoded in long
-        runs; a run is cut where an id opens with a space.
+        runs; a run is cut where an id opens with a space or line feed.
         """
         if len(self.known) + len(missing) > self.memory:
             self.older, self.known = self.known, {}
-        known, older = self.known, self.older
+        known, older, marks = self.known, self.older, self.marks
+        moved = missing & older.keys()
+        known.update(zip(moved, map(older.__getitem__, moved)))
+        missing = missing - moved
+        if self.letters is not None:
+            # Most new words are of ASCII letters alone.
+            plain = [w for w in missing if w.isalpha() and w.isascii()]
+            for a in range(0, len(plain), _RUN):
+                run = plain[a : a + _RUN]
+                self._add(run, " ", self._bare(run, " "))
+            missing.difference_update(plain)
         split = []
         cores = set()
         for word in missing:
-            ids = older.get(word)
-            if ids is not None:
-                known[word] = ids
-                continue
-            core = word.rstrip(self.marks)
+            core = word.rstrip(marks)
             if len(core) < len(word) and core and core[-1].isalnum():
                 split.append((word, core))
-            else:
-                core = word
-            if core not in known:
+                if core in known:
+                    continue
+                if core in older:
+                    known[core] = older[core]
+                    continue
                 cores.add(core)
-        run_of = list(cores)
-        for a in range(0, len(run_of), 2000):
-            run = run_of[a : a + 2000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(run), add_special_tokens=False).ids, dtype="<u4")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(run):
-                raise AssertionError("pieces and ids don't match")
-            data = ids.tobytes()
-            ends = np.append(starts[1:], len(ids))
-            for word, x, y in zip(run, (4 * starts).tolist(), (4 * ends).tolist()):
-                known[word] = data[x:y]
+            else:
+                cores.add(word)
+        kinds: dict[tuple[str, bool], list[str]] = {}
+        for core in cores:
+            lead, word = ("\n", core[1:]) if core[:1] == "\n" else (" ", core)
+            bare = self.letters is not None and word.isalpha() and (word.isascii() or max(word) < _KNOWN_LETTERS)
+            kinds.setdefault((lead, bare), []).append(word)
+        for (lead, bare), words in kinds.items():
+            for a in range(0, len(words), _RUN):
+                run = words[a : a + _RUN]
+                self._add(run, lead, self._bare(run, lead) if bare else self._plain([lead + lead.join(run)])[0])
         for word, core in split:
             known[word] = known[core] + self._ending(word[len(core) :])
 
+    def _bare(self, run: list[str], lead: str) -> bytes:
+        text = " ".join(run)
+        if not text.isascii():
+            text = " ".join([w if w.isascii() else w.encode().decode("latin-1").translate(self.translate) for w in run])
+        text = "\u0120" + text.replace(" ", " \u0120") if lead == " " else "\u010a " + text.replace(" ", " \u010a ")
+        return np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _add(self, run: list[str], lead: str, data: bytes) -> None:
+        starts = np.flatnonzero(self.opens[lead][np.frombuffer(data, dtype="<u4")])
+        if len(starts) != len(run):
+            raise AssertionError("pieces and ids don't match")
+        cuts = [*(4 * starts).tolist(), len(data)]
+        ids = [data[x:y] for x, y in zip(cuts, cuts[1:])]
+        self.known.update(zip(run if lead == " " else ["\n" + w for w in run], ids))
+
     def _ending(self, marks: str) -> bytes:
         if marks not in self.endings:
             if len(self.endings) > 10_000:
@@ -99,28 +157,48 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, text: str) -> list[str]:
+        """The text's head as it is, then words with their space taken off and line feeds leading.
+
+        A stop or comma after a letter or digit is a piece of its own, marked by a zero; a text with zeros is all head.
+        """
+        if "\0" in text:
+            return [text]
+        if _odd(text):
+            return _PIECES.split(text)
+        text = text.replace("\n", " \n")
+        if "." in self.marks and "," in self.marks and not _LOOSE_MARK.search(text):
+            text = text.replace(". ", " \0. ").replace(", ", " \0, ")
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
             return self._plain(texts)
-        cut = [_PIECES.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        cut = [self._cut(t) for t in texts]
         # What stands before the first such space has no space of its own.
         heads = self._plain([c[0] for c in cut])
-        words = set()
+        flat: list[str] = []
         for c in cut:
-            words.update(c[1:])
-        # A piece with an ordinary space inside (odd white space) can't be cut out of a run.
-        odd = [w for w in words if " " in w]
-        words.difference_update(odd)
-        missing = [w for w in words if w not in self.known]
-        if len(self.known) + len(missing) > self.memory:
-            missing = list(words)
-        if missing:
+            flat += c[1:]
+        ids = list(map(self.known.get, flat))
+        if None in ids:
+            missing = {w for w, x in zip(flat, ids) if x is None}
+            marks = [w for w in ("\0.", "\0,") if w in missing]
+            missing.difference_update(marks)
+            # A piece with an ordinary space or line feed inside (odd white space) can't be cut out of a run.
+            odd = [w for w in missing if not w or " " in w or "\n" in w[1:]]
+            missing.difference_update(odd)
             self._learn(missing)
-        get = self.known.__getitem__
-        if not odd:
-            return [h + b"".join(map(get, c[1:])) for h, c in zip(heads, cut)]
-        rare = dict(zip(odd, self._plain([" " + w for w in odd])))
-        return [h + b"".join([rare[w] if w in rare else get(w) for w in c[1:]]) for h, c in zip(heads, cut)]
+            rare = dict(zip(odd, self._plain([" " + w for w in odd])))
+            self.known.update((m, self._ending(m[1:])) for m in marks)
+            known = self.known
+            ids = [x or known.get(w) or rare[w] for w, x in zip(flat, ids)]
+        out, at = [], 0
+        for h, c in zip(heads, cut):
+            end = at + len(c) - 1
+            out.append(h + b"".join(ids[at:end]))
+            at = end
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
