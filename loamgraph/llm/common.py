@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,13 +133,31 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
 STORES: dict[str, list[dict]] = {}
 
 
-def release(keep: str = "") -> None:
-    """Empties what other operators have left in this worker, and gives the memory back where the C library can."""
-    held = [store for name, stores in STORES.items() if name != keep for store in stores if store]
-    if not held:
-        return
-    for store in held:
-        store.clear()
-    gc.collect()
+def trim() -> None:
+    """Gives freed memory back to the system where the libraries can."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def release(keep: str = "") -> None:
+    """Empties what other operators have left in this worker."""
+    held = [store for name, stores in STORES.items() if name != keep for store in stores if store]
+    if held:
+        for store in held:
+            store.clear()
+        gc.collect()
+        trim()
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work`, begun without other operators' stores, and with its own freed memory given back at its end: workers wait for later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep)
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, document_key, grouped, narrow, narrow_key, release, staged, utf8
+from .common import blocks, document_key, grouped, narrow, narrow_key, staged, tidied, utf8
 from .components import components
 from .partitions import signatures
 from .signature_tree import Node, bitmap, build, dual_join
@@ -35,7 +35,6 @@ def _describe(width: int, percent: int):
     """Each document's set by name and size, and its parts' signatures."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in blocks(batches, "text", 1_000_000):
             sets = shingles(utf8(batch.column("text")), width)
             owner, found = signatures(sets, percent)
@@ -44,7 +43,7 @@ def _describe(width: int, percent: int):
             names, sizes = pa.array([_identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("did"), names, sizes, tokens], names=["k1", "k2", "did", "cid", "n", "tokens"])
 
-    return describe
+    return tidied(describe)
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -106,7 +105,7 @@ def _links(width: int, percent: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return links
+    return tidied(links)
 
 
 def _blocks(rows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -157,7 +156,7 @@ def similarity_classes(docs: DataFrame, width: int, percent: int, id_col: str =
             raw = utf8(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([squeeze.compress(r) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=["k1", "k2", "z", "n_bytes"])
 
-    pressed = base.select("k1", "k2", "text").mapInArrow(press, "k1 long, k2 long, z binary, n_bytes long")
+    pressed = base.select("k1", "k2", "text").mapInArrow(tidied(press), "k1 long, k2 long, z binary, n_bytes long")
     texts = staged(pressed.join(wanted, ["k1", "k2"]).dropDuplicates(["cid", "n"]).select("cid", "n", "z", "n_bytes"), "texts")
     lengths = texts.select("cid", "n", "n_bytes")
     # First, each set goes to two of its buckets only: that connects most of what is alike.

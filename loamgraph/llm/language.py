@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, narrow, packed, release, staged, summed, utf8
+from .common import blocks, narrow, packed, staged, summed, tidied, utf8
 from .text import LOWER
 
 SLOTS = 1 << 16
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
                     total[at : at + SLOTS] += np.bincount(_slots(np.frombuffer(text, dtype=np.uint8)), minlength=SLOTS)
         yield packed(total)
 
-    counts = summed(sample.mapInArrow(count, "counts binary"), size).reshape(-1, SLOTS).astype(np.float64)[: len(languages)]
+    counts = summed(sample.mapInArrow(tidied(count), "counts binary"), size).reshape(-1, SLOTS).astype(np.float64)[: len(languages)]
     shares = (counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True)
     return Model(languages, np.log(np.vstack([shares, np.full((1, SLOTS), 1 / SLOTS)])).astype(np.float32))
 
@@ -137,13 +137,12 @@ def identify(docs: DataFrame, model: Model, host_col: str | None = "source", id_
     base = base.select("doc_id", F.xxhash64("text").alias("th"), "host", "suffix", declared.alias("declared"), "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in blocks(batches, "text", 1_000_000):
             scores, n = text_scores(model, utf8(batch.column("text")))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "host", "suffix", "declared")), pa.array(n), values], names=["doc_id", "th", "host", "suffix", "declared", "n", "scores"])
 
-    scored = staged(base.mapInArrow(score, schema), "language-scores")
+    scored = staged(base.mapInArrow(tidied(score), schema), "language-scores")
     if not langs:
         return scored.select("doc_id", "th", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     # No language is as likely under any declaration as a random one.

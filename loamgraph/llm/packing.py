@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, narrow, release, staged
+from .common import blocks, narrow, staged, tidied
 from .text import mix64
 from .tokens import default_path, encoder
 
@@ -131,7 +131,6 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int | None =
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release("tokens")
         enc = encoder(path)
         press = zstandard.ZstdCompressor(level=1)
         size = max(enc.size, (end_id or 0) + 1)
@@ -142,7 +141,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int | None =
             full = [x if len(x) else np.zeros(1, "<u4") for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(full, size)), pa.array([len(x) for x in ids], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "key", "n", "ids"])
 
-    return narrow(docs, id_col, text_col).mapInArrow(encode, "doc_id long, key long, n long, ids binary")
+    return narrow(docs, id_col, text_col).mapInArrow(tidied(encode, "tokens"), "doc_id long, key long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +162,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        release()
         press = zstandard.ZstdDecompressor()
         packer = Packer(length, TaskContext.get().partitionId() << 40)
 
@@ -182,4 +180,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
             yield out()
 
     table = staged(encoded(docs, path, end_id, id_col, text_col), "encoded")
-    return table.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "n", "ids").mapInArrow(fill, PIECES)
+    return table.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "n", "ids").mapInArrow(tidied(fill), PIECES)

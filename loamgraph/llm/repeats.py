@@ -5,7 +5,9 @@ Which texts have to meet in a suffix array is found by winnowing: each string of
 that stands once in the corpus can't belong to a repeated string; the text around the
 others goes to the bucket of the smallest document key with that gram.  A bucket's texts,
 identical ones once, are sorted by the two-stage suffix sort, and neighbours that
-share `length` bytes mark what is repeated.
+share `length` bytes mark what is repeated.  The strings of a bucket that is too large for one
+suffix array are dealt anew by their own grams, and those of a gram that is still too frequent by wider ones: buckets
+get smaller, and each is sorted in the same way.
 """
 
 from __future__ import annotations
@@ -17,19 +19,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, blocks, narrow, release, staged, utf8
+from .common import blocks, document_key, narrow, narrow_key, staged, tidied, utf8
 from .suffix import repeated_starts
-from .text import BYTE_VALUE
-from .winnow import window_minima
+from .text import BYTE_VALUE, mix64
+from .winnow import gram_hashes, window_minima
 
 LENGTH = 200
-#: Distinct bytes of one bucket that a single suffix array takes; larger buckets are dealt by string instead.
-BUCKET_BYTES = 8_000_000
+#: Distinct bytes of one bucket that a single suffix array takes; the strings of larger buckets go to finer ones.
+BUCKET_BYTES = 2_000_000
 #: Bytes after which a suffix array of several buckets is closed.
-ARRAY_BYTES = 3_000_000
+ARRAY_BYTES = 2_000_000
 
 
 def gram_width(length: int) -> int:
@@ -41,7 +43,6 @@ def _anchors(length: int):
     k = gram_width(length)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in blocks(batches, "text", 1_000_000):
             raw = utf8(batch.column("text"))
             sizes = np.array([len(r) for r in raw], dtype=np.int64)
@@ -52,7 +53,7 @@ def _anchors(length: int):
             at = (lo << 16) | (hi - lo)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("k1").take(take), batch.column("k2").take(take), pa.array(at)], names=["gram", "k1", "k2", "at"])
 
-    return anchors
+    return tidied(anchors)
 
 
 def _segments(length: int):
@@ -60,8 +61,14 @@ def _segments(length: int):
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "part", "k1", "k2", "start", "bytes"])
+
+        for batch in blocks(batches, "z", 1_000_000):
             rows: list[tuple] = []
+            held = 0
             for k1, k2, packed, size, at, owner in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "z", "n_bytes", "ats", "owners"))):
                 text = press.decompress(packed, max_output_size=size) if size else b""
                 at, owner = np.array(at, dtype=np.int64), np.array(owner, dtype=np.int64)
@@ -74,11 +81,14 @@ def _segments(length: int):
                 for a, b, own in zip(lo[new].tolist(), hi[np.append(new[1:], len(at)) - 1].tolist(), owner[new].tolist()):
                     part = text[a : b + length]
                     rows.append((own, xxhash.xxh3_128_digest(part), k1, k2, a, part))
+                    held += len(part)
+                if held > 8_000_000:
+                    yield found()
+                    rows, held = [], 0
             if rows:
-                types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "part", "k1", "k2", "start", "bytes"])
+                yield found()
 
-    return segments
+    return tidied(segments)
 
 
 def covered(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +103,6 @@ def _sort_buckets(length: int):
     """Rows sorted by bucket: marks the repeated runs of each distinct text of each bucket."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         held: list[tuple[int, bytes, bytes, int]] = []
         size = 0
 
@@ -109,7 +118,7 @@ def _sort_buckets(length: int):
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["bucket", "part", "froms", "tos"])
 
-        for batch in batches:
+        for batch in blocks(batches, "bytes", 2_000_000):
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "bytes", "copies"))):
                 # A bucket is never cut; several share an array, where only true repeats can meet.
                 if size > ARRAY_BYTES and row[0] != held[-1][0]:
@@ -120,51 +129,79 @@ def _sort_buckets(length: int):
         if held:
             yield marked()
 
-    return sort
+    return tidied(sort)
 
 
 MARKS = "bucket long, part binary, froms array<long>, tos array<long>"
 
 
-def _by_string(texts: DataFrame, length: int) -> DataFrame:
-    """The same marks for buckets too large for one array: each string of `length` bytes goes by its 128-bit hash.
-
-    Rows grow with the distinct text of these buckets only, and equal strings are counted
-    map-side first, so that no string's rows meet in one task.
-    """
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, part, text, copies in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "bytes", "copies"))):
-                n = len(text) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int64()), pa.array([part] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array([xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n)], pa.binary()), pa.array([copies] * n, pa.int64())], names=["bucket", "part", "start", "s", "copies"])
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [covered(np.sort(np.array(x, dtype=np.int64)), length) for x in batch.column("starts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("part"), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int64())), pa.array([b.tolist() for _, b in found], pa.list_(pa.int64()))], names=["bucket", "part", "froms", "tos"])
-
-    rows = staged(texts.mapInArrow(strings, "bucket long, part binary, start long, s binary, copies long"), "strings")
-    repeated = staged(rows.groupBy("s").agg(F.sum("copies").alias("n")).where("n > 1").select("s"), "repeated-strings")
-    return rows.join(repeated, "s").groupBy("bucket", "part").agg(F.collect_list("start").alias("starts")).mapInArrow(runs, MARKS)
+def finer_widths(length: int) -> list[int]:
+    """Widths of the grams that large buckets are dealt by, one after another; the last is the whole string."""
+    wide = 1 << (length.bit_length() - 1)
+    return sorted({gram_width(length), wide // 2 if wide == length else wide} - {length}) + [length]
 
 
-def document_key(doc_id: Column, text: Column) -> list[Column]:
-    """The 128 bits that a document goes by, as two longs: its id (null: NULL_ID) and text, hashed under two seeds."""
-    did = F.coalesce(doc_id.cast("long"), F.lit(NULL_ID))
-    return [F.xxhash64(did, text).alias("k1"), F.xxhash64(F.lit(1), did, text).alias("k2")]
+def _finer(length: int, k: int):
+    """From a large bucket's texts: the runs of strings with one chosen gram of k bytes, by that gram."""
 
-
-def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
+    def chosen(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, gram, first, last): the strings that start at first..last of a text have this gram."""
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        values = BYTE_VALUE[np.frombuffer(b"".join(texts), dtype=np.uint8)]
+        if k < length:
+            doc, _, h, lo, hi = window_minima(values, sizes, k, length - k + 1)
+            return doc, h, lo, hi
+        wide = 1 << (length.bit_length() - 1)
+        grams = gram_hashes(values, wide)
+        count = sizes - length + 1
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        place = at + np.repeat(np.cumsum(sizes) - sizes, count)
+        return np.repeat(np.arange(len(texts)), count), mix64(grams[place] + mix64(grams[place + length - wide])), at, at
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+        for batch in blocks(batches, "bytes", 1_000_000 if k < length else 50_000):
+            buckets, parts, texts, copies = (batch.column(c).to_pylist() for c in ("bucket", "part", "bytes", "copies"))
+            doc, h, lo, hi = chosen(texts)
+            for a in range(0, len(doc), 20_000):
+                rows = []
+                for i, gram, x, y in zip(doc[a : a + 20_000].tolist(), h[a : a + 20_000].view(np.int64).tolist(), lo[a : a + 20_000].tolist(), hi[a : a + 20_000].tolist()):
+                    own = texts[i][x : y + length]
+                    rows.append((buckets[i], parts[i], x, gram, xxhash.xxh3_128_digest(own), own, copies[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["outer", "whole", "at", "bucket", "part", "bytes", "copies"])
+
+    return tidied(finer)
+
+
+def _marks(texts: DataFrame, length: int, bucket_bytes: int, widths: list[int]) -> DataFrame:
+    """The repeated runs of each bucket's texts, which may overlap: MARKS rows.  A bucket has at most `bucket_bytes` in one suffix array."""
+    sort = lambda t: t.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "part", "bytes", "copies").mapInArrow(_sort_buckets(length), MARKS)
+    if not widths:
+        return staged(sort(texts), "marks")
+    large = staged(texts.groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > bucket_bytes).select("bucket"), "large-buckets")
+    if large.isEmpty():
+        return staged(sort(texts), "marks")
+    small = staged(sort(texts.join(large, "bucket", "left_anti")), "marks")
+    parts = texts.join(large, "bucket", "left_semi").select("bucket", "part", "bytes", "copies").mapInArrow(_finer(length, widths[0]), "outer long, whole binary, at long, bucket long, part binary, bytes binary, copies long")
+    finer = staged(parts.groupBy("bucket", "part").agg(F.max("bytes").alias("bytes"), F.sum("copies").alias("copies")), "finer-texts")
+    own = _marks(finer, length, bucket_bytes, widths[1:])
+    moved = lambda c: F.flatten(F.collect_list(F.transform(c, lambda x: x + F.col("at")))).alias(c)
+    back = parts.select("outer", "whole", "at", "bucket", "part").join(own, ["bucket", "part"])
+    return small.unionByName(staged(back.groupBy("outer", "whole").agg(moved("froms"), moved("tos")).select(F.col("outer").alias("bucket"), F.col("whole").alias("part"), "froms", "tos"), "finer-marks"))
+
+
+def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, characters: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, cuts): all documents as (doc_id, k1, k2, text), and for those that lose bytes (k1, k2, n_removed, n_spans, rest).
 
+    With `characters`, `rest` has whole characters only.
+
     `k1` and `k2` are the document's key; rows with the same id and different texts are different documents.
     """
     base = narrow(docs, id_col, text_col).select("doc_id", *document_key(F.col("doc_id"), F.col("text")), "text")
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in blocks(batches, "text", 4_000_000):
             raw = utf8(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([squeeze.compress(r) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=["k1", "k2", "z", "n_bytes"])
 
@@ -173,24 +210,18 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
     buckets = staged(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("bucket")).where("n > 1").drop("n"), "buckets")
     marked = anchors.join(buckets, "gram").groupBy("k1", "k2").agg(F.collect_list(packed).alias("marks")).select("k1", "k2", F.col("marks.at").alias("ats"), F.col("marks.bucket").alias("owners"))
     # Documents that no gram points to leave here; the texts of the others are kept, compressed.
-    pressed = base.mapInArrow(press, "k1 long, k2 long, z binary, n_bytes long")
+    pressed = base.mapInArrow(tidied(press), "k1 long, k2 long, z binary, n_bytes long")
     suspects = staged(pressed.join(marked, ["k1", "k2"]), "suspects")
     parts = suspects.mapInArrow(_segments(length), "bucket long, part binary, k1 long, k2 long, start long, bytes binary")
     texts = staged(parts.groupBy("bucket", "part").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies")), "bucket-texts")
-    large = staged(texts.groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > bucket_bytes).select("bucket"), "large-buckets")
-    some_large = not large.isEmpty()
-    small = texts.join(large, "bucket", "left_anti") if some_large else texts
-    marks = small.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "part", "bytes", "copies").mapInArrow(_sort_buckets(length), MARKS)
-    if some_large:
-        marks = marks.unionByName(_by_string(texts.join(large, "bucket", "left_semi"), length))
-    marks = staged(marks, "marks")
+    marks = _marks(texts, length, bucket_bytes, finer_widths(length))
     places = parts.select("bucket", "part", "k1", "k2", "start").distinct().join(marks, ["bucket", "part"])
     spans = places.select("k1", "k2", F.explode(F.arrays_zip(F.transform("froms", lambda x: x + F.col("start")).alias("a"), F.transform("tos", lambda x: x + F.col("start")).alias("b"))).alias("span"))
     per_doc = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in blocks(batches, "z", 1_000_000):
             rows = []
             for k1, k2, z, size, spans in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "z", "n_bytes", "spans"))):
                 text = expand.decompress(z, max_output_size=size) if size else b""
@@ -204,11 +235,12 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
                         removed += max(0, b - at)
                     at = max(at, b)
                 kept.append(text[at:])
-                rows.append((k1, k2, removed, runs, b"".join(kept)))
+                rest = b"".join(kept)
+                rows.append((k1, k2, removed, runs, rest.decode("utf-8", "ignore").encode() if characters else rest))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "n_removed", "n_spans", "rest"])
 
     once = suspects.dropDuplicates(["k1", "k2"]).select("k1", "k2", "z", "n_bytes")
-    cuts = once.join(per_doc, ["k1", "k2"]).mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, rest binary")
+    cuts = once.join(per_doc, ["k1", "k2"]).mapInArrow(tidied(cut), "k1 long, k2 long, n_removed long, n_spans long, rest binary")
     return base, cuts
 
 
@@ -216,9 +248,10 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes left).
 
     Texts are judged as UTF-8 bytes on the input, null as empty; strings never cross
-    documents; overlapping repeats count.  Texts shorter than `length` keep all.  A row
-    repeated is another document with the same text.  Rows with a null id are returned
-    with a null id; an empty table gives an empty result.
+    documents; overlapping repeats count.  Texts shorter than `length` keep all; very long ones
+    are handled in parts.  A row repeated is another document with the same text; so are rows of one id.  Rows
+    with a null id are returned with a null id; an empty table gives an empty result; other columns are not read,
+    whatever their names.
     """
     base, cuts = removals(docs, length, id_col, text_col, bucket_bytes)
     all_docs = base.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
@@ -236,19 +269,15 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with its texts' repeated strings removed, all other columns as they are.
 
     What a cut leaves of a character goes as well, so that the text stays valid.  Documents keep their row,
-    whatever is left; n_chars, where there is such a column, counts the new text.
+    whatever is left; n_chars, where there is such a column, counts the new text.  Null texts stay null, and
+    an empty table stays empty.
     """
-    _, cuts = removals(docs, length)
-
-    def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([r.decode("utf-8", "ignore") for r in utf8(batch.column("rest"))], pa.string())], names=["_k1", "_k2", "_rest"])
-
-    rest = cuts.select("k1", "k2", "rest").mapInArrow(whole_characters, "_k1 long, _k2 long, _rest string")
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    keyed = docs.withColumns(dict(zip(("_a", "_b"), document_key(docs["doc_id"], text))))
-    joined = keyed.join(rest, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
-    new = {"text": F.coalesce("_rest", keyed["text"])}
+    _, cuts = removals(docs, length, characters=True)
+    rest = cuts.select("k1", "k2", F.col("rest").cast("string").alias("rest"))
+    rows = narrow_key(docs)
+    joined = rows.join(rest, (rows["key.k1"] == rest["k1"]) & (rows["key.k2"] == rest["k2"]), "left")
+    lost = F.col("rest").isNotNull()
+    new = {"text": F.when(lost, F.col("rest")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_rest").isNotNull(), F.length("_rest")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(lost, F.length("rest")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -12,6 +12,8 @@ import numpy as np
 
 from .text import BYTE_VALUE
 
+#: Places that are hashed or compared at once.
+_CHUNK = 1 << 18
 _STEP = np.array([0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -31,14 +33,25 @@ class Block:
         over = offset + 8 - self.depth
         return found >> np.uint64(8 * over) << np.uint64(8 * over) if over > 0 else found
 
-    def hashes(self) -> np.ndarray:
-        """A hash of the `depth` bytes from each place."""
-        h = BYTE_VALUE[self._padded[: self.n + self.depth]]
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """An array with a hash of the `depth` bytes from each of these places; what stands elsewhere means nothing."""
+        wanted = np.zeros(self.n, dtype=bool)
+        wanted[at] = True
+        out = np.zeros(self.n, dtype=np.uint64)
+        for a in range(0, self.n, _CHUNK):
+            b = min(self.n, a + _CHUNK)
+            own = np.flatnonzero(wanted[a:b])
+            if len(own):
+                out[a + own] = self._hashed(a, b)[own]
+        return out
+
+    def _hashed(self, a: int, b: int) -> np.ndarray:
+        h = BYTE_VALUE[self._padded[a : b + self.depth]]
         total, taken, m, power = None, 0, 1, _STEP
         depth = self.depth
         while depth:
             if depth & 1:
-                part = h[taken : taken + self.n]
+                part = h[taken : taken + b - a]
                 total = part.copy() if total is None else total * power + part
                 taken += m
             depth >>= 1
@@ -55,10 +68,10 @@ def smaller_than_successor(t: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, bool)
     up = np.empty(n, dtype=np.int8)
-    up[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1].astype(np.int16))
+    up[:-1] = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
     up[-1] = -1
-    decided = np.flatnonzero(up)
-    following = np.cumsum(up != 0) - (up != 0)
+    decided = np.flatnonzero(up).astype(np.int32)
+    following = np.cumsum(up != 0, dtype=np.int32) - (up != 0)
     return up[decided[following]] > 0
 
 
@@ -75,7 +88,9 @@ def _sort_directly(block: Block, at: np.ndarray) -> np.ndarray:
         return at
     fresh = np.concatenate([[True], key[1:] != key[:-1]])
     done = np.zeros(len(at), dtype=bool)
-    whole = block.hashes()
+    tied = ~fresh
+    tied[:-1] |= ~fresh[1:]
+    whole = block.hashes(at[tied])
     for offset in range(8, block.depth, 8):
         tied = ~fresh
         tied[:-1] |= ~fresh[1:]
@@ -105,17 +120,18 @@ def suffix_order(block: Block) -> np.ndarray:
     """All suffixes in ascending order of their first `depth` bytes at least."""
     t, n = block.bytes, block.n
     if not n:
-        return np.empty(0, np.int64)
-    direct = _sort_directly(block, np.flatnonzero(smaller_than_successor(t)))
+        return np.empty(0, np.int32)
+    direct = _sort_directly(block, np.flatnonzero(smaller_than_successor(t)).astype(np.int32))
     edges = np.searchsorted(t[direct], np.arange(257))
     ready: list[list[np.ndarray]] = [[] for _ in range(256)]
-    ready[t[n - 1]].append(np.array([n - 1]))
+    ready[t[n - 1]].append(np.array([n - 1], dtype=np.int32))
     out = []
     for c in range(256):
         own = direct[edges[c] : edges[c + 1]]
         if not ready[c] and not len(own):
             continue
         wave = np.concatenate(ready[c]) if ready[c] else own[:0]
+        ready[c] = []
         bucket = [wave]
         while len(wave):
             wave = wave[wave > 0] - 1
@@ -167,11 +183,14 @@ def repeated_starts(texts: list[bytes], depth: int) -> np.ndarray:
     data = SEPARATOR.join(texts) + SEPARATOR
     block = Block(data, depth)
     order = suffix_order(block)
-    pair = common_prefixes(block, order) >= depth
     hit = np.zeros(block.n, dtype=bool)
-    hit[order[:-1][pair]] = True
-    hit[order[1:][pair]] = True
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    after = np.concatenate([[0], ends])
-    room = np.repeat(ends, np.diff(np.concatenate([[0], ends + 1]))) - np.arange(block.n)
-    return hit & (room >= depth) if len(after) > 1 else hit
+    for a in range(0, len(order) - 1, _CHUNK):
+        near = order[a : a + _CHUNK + 1]
+        pair = common_prefixes(block, near) >= depth
+        hit[near[:-1][pair]] = True
+        hit[near[1:][pair]] = True
+    end = 0
+    for text in texts:
+        start, end = end, end + len(text) + 1
+        hit[max(start, end - depth) : end] = False
+    return hit

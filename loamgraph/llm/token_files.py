@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, narrow, release, staged
+from .common import blocks, narrow, staged, tidied
 from .tokens import default_path, encoder
 
 MAGIC = b"LGBP"
@@ -117,7 +117,6 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int | No
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        release("tokens")
         part = TaskContext.get().partitionId() << 32
         enc = encoder(path)
         held: list[tuple[int | None, bytes]] = []
@@ -139,7 +138,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int | No
             yield image()
 
     base = narrow(docs, id_col, text_col)
-    return base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, IMAGES)
+    return base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidied(write, "tokens"), IMAGES)
 
 
 def read_tokens(images: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -147,7 +146,6 @@ def read_tokens(images: DataFrame, with_ids: bool = False) -> DataFrame:
     schema = "part long, doc_id long, inner long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part, image in zip(batch.column("part").to_pylist(), batch.column("image").to_pylist()):
                 rows: list[list] = [[] for _ in range(5 + with_ids)]
@@ -165,7 +163,7 @@ def read_tokens(images: DataFrame, with_ids: bool = False) -> DataFrame:
     ranges = ranges.select("range", (F.sum("held").over(Window.orderBy("range")) - F.col("held")).alias("before"))
     within = F.sum("n_ids").over(Window.partitionBy("range").orderBy("part")) - F.col("n_ids")
     files = counts.withColumn("within", within).join(ranges, "range").select("part", (F.col("before") + F.col("within")).alias("base"))
-    rows = images.select("part", "image").mapInArrow(read, schema)
+    rows = images.select("part", "image").mapInArrow(tidied(read), schema)
     extra = ["ids"] if with_ids else []
     return rows.join(files, "part").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *extra)
 
