@@ -46,7 +46,10 @@ def predecessors(distances: DataFrame, adjacent: DataFrame) -> DataFrame:
 
 
 def routes(before: DataFrame, nodes: DataFrame, most_hops: int = 1000) -> DataFrame:
-    """s, t, route (array): all canonical paths, trivial ones included, one hop longer each round."""
+    """s, t, route (array): all canonical paths, trivial ones included, one hop longer each round.
+
+    Paths of more than `most_hops` hops raise an error; none is left out.
+    """
     before = stage(before)
     front = stage(nodes.select(F.col("id").alias("s"), F.col("id").alias("t"), F.array("id").alias("route")))
     found = [front]
@@ -55,6 +58,8 @@ def routes(before: DataFrame, nodes: DataFrame, most_hops: int = 1000) -> DataFr
         if front.isEmpty():
             break
         found.append(front)
+    else:
+        raise RuntimeError(f"some routes have more than {most_hops} hops")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -74,7 +79,7 @@ def route_weights(paths: DataFrame, adjacent: DataFrame, keep: list[str]) -> Dat
 
 def fix_routes(paths: DataFrame, shortest: DataFrame) -> DataFrame:
     """Each hop replaced by its shortest path; a route with an unreachable hop goes.  paths: route_id, route."""
-    ways = shortest.select(F.col("s").alias("u"), F.col("t").alias("v"), F.slice("route", 2, 1_000_000).alias("rest"))
+    ways = shortest.select(F.col("s").alias("u"), F.col("t").alias("v"), F.slice("route", 2, F.size("route")).alias("rest"))
     steps = hops(paths, ["route_id"]).join(ways, ["u", "v"], "left")
     fixed = steps.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rest"))).alias("parts"), F.count(F.when(F.col("rest").isNull(), 1)).alias("missing")).where("missing = 0")
     first = paths.select("route_id", F.slice("route", 1, 1).alias("head"))

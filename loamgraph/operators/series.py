@@ -21,13 +21,14 @@ def hourly_median(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
 def bracket(grid: DataFrame, samples: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """For each grid place its last sample at or before and its first after: t0, v0, t1, v1.
 
-    Grid and samples are sorted together once; no range join.
+    Grid and samples are sorted together; no range join.  Both frames start at their order's begin, so that
+    each row adds to one running value: what comes after is what came before in descending order.
     """
     both = grid.select(key, at, F.lit(None).cast("double").alias(value), F.lit(True).alias("wanted")).unionByName(samples.select(key, at, F.col(value).cast("double").alias(value), F.lit(False).alias("wanted")))
     point = F.when(~F.col("wanted"), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
     back = Window.partitionBy(key).orderBy(F.col(at), F.col("wanted")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(F.col(at), F.col("wanted")).rowsBetween(0, Window.unboundedFollowing)
-    placed = both.withColumns({"p": F.last(point, ignorenulls=True).over(back), "q": F.first(point, ignorenulls=True).over(ahead)})
+    ahead = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col("wanted").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumns({"p": F.last(point, ignorenulls=True).over(back), "q": F.last(point, ignorenulls=True).over(ahead)})
     return placed.where("wanted").select(key, at, F.col("p.t").alias("t0"), F.col("p.v").alias("v0"), F.col("q.t").alias("t1"), F.col("q.v").alias("v1"))
 
 

@@ -82,22 +82,23 @@ def change_flags(t: Tables) -> DataFrame:
     return S.ewma(_hours(t), "key", "sec", "value").select("key", "sec", (F.abs(F.col("value") - F.col("ewma")) > 12).alias("flagged"))
 
 
-SNAP = ", snap AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b, CAST(year(ts) AS INTEGER) AS y FROM raw WHERE source <> target AND throughput % 10 = 0)\n"
+SNAP = ", snap AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b, CAST(12 * year(ts) + month(ts) - 1 AS INTEGER) AS m FROM raw WHERE source <> target)\n"
 
 
 def snapshots(t: Tables) -> DataFrame:
-    links = E.drop_self_loops(net.raw_links(t)).where("throughput % 10 = 0")
-    return E.canonical(links.select("source", "target", F.year("ts").alias("y"))).distinct()
+    """All links of each month, counted from the year 0."""
+    links = E.drop_self_loops(net.raw_links(t))
+    return E.canonical(links.select("source", "target", (12 * F.year("ts") + F.month("ts") - 1).alias("m"))).distinct()
 
 
-@query(NET + SNAP + ", ord AS (SELECT y, lead(y) OVER (ORDER BY y) AS n FROM (SELECT DISTINCT y FROM snap)) SELECT a, b, n AS y, 'removed' AS change FROM snap JOIN ord USING (y) WHERE n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snap z WHERE z.a = snap.a AND z.b = snap.b AND z.y = n) UNION ALL SELECT z.a, z.b, z.y, 'added' FROM snap z JOIN ord ON ord.n = z.y WHERE NOT EXISTS (SELECT 1 FROM snap x WHERE x.a = z.a AND x.b = z.b AND x.y = ord.y)")
+@query(NET + SNAP + ", ord AS (SELECT m, lead(m) OVER (ORDER BY m) AS n FROM (SELECT DISTINCT m FROM snap)) SELECT a, b, n AS m, 'removed' AS change FROM snap JOIN ord USING (m) WHERE n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snap z WHERE z.a = snap.a AND z.b = snap.b AND z.m = n) UNION ALL SELECT z.a, z.b, z.m, 'added' FROM snap z JOIN ord ON ord.n = z.m WHERE NOT EXISTS (SELECT 1 FROM snap x WHERE x.a = z.a AND x.b = z.b AND x.m = ord.m)")
 def snapshot_diff(t: Tables) -> DataFrame:
-    return S.snapshot_changes(snapshots(t), "y")
+    return S.snapshot_changes(snapshots(t), "m")
 
 
-@query(NET + SNAP + "SELECT e.a, e.b, s.y FROM (SELECT DISTINCT a, b FROM snap) e CROSS JOIN (SELECT DISTINCT y FROM snap) s WHERE NOT EXISTS (SELECT 1 FROM snap z WHERE z.a = e.a AND z.b = e.b AND z.y = s.y)")
+@query(NET + SNAP + "SELECT e.a, e.b, s.m FROM (SELECT DISTINCT a, b FROM snap) e CROSS JOIN (SELECT DISTINCT m FROM snap) s WHERE NOT EXISTS (SELECT 1 FROM snap z WHERE z.a = e.a AND z.b = e.b AND z.m = s.m)")
 def currently_out(t: Tables) -> DataFrame:
-    return S.out_now(snapshots(t), "y")
+    return S.out_now(snapshots(t), "m")
 
 
 YEARLY = ", yearly AS (SELECT least(source, target) AS a, greatest(source, target) AS b, CAST(year(ts) AS INTEGER) AS y, CAST(sum(throughput) AS BIGINT) AS weight, min(throughput) AS low, max(throughput) AS high FROM raw WHERE source <> target GROUP BY 1, 2, 3), span AS (SELECT min(y) AS lo, min(y) + 1 AS hi FROM yearly)\n"
