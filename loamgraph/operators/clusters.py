@@ -66,6 +66,13 @@ def contract(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return quotient(edges, mapping.select("id", "rep"))
 
 
+def contract_all(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`contract` with the least bound between two clusters."""
+    a, b = (mapping.select(F.col("id").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
+    moved = edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "rtt_us", "throughput", "gcl_us")
+    return moved.groupBy("a", "b").agg(F.min("rtt_us").alias("rtt_us"), F.sum("throughput").alias("throughput"), F.min("gcl_us").alias("gcl_us"))
+
+
 def relabel_routes(paths: DataFrame, mapping: DataFrame) -> DataFrame:
     """Nodes replaced by their representatives, equal neighbours once.  paths: route_id, route."""
     placed = paths.select("route_id", F.posexplode("route").alias("pos", "id")).join(mapping.select("id", "rep"), "id")

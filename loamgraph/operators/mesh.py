@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo import lit
+from ..plans.stage import stage
+from .clusters import components
 
 
 def grid(spark: SparkSession, width: int, height: int, z: Column | None = None, scale: float = 1.0) -> DataFrame:
@@ -169,3 +171,19 @@ def crossings(segments: DataFrame, cell: float = 0.1) -> DataFrame:
     a, b = (s.select(F.col("sid").alias(f"s{n}"), *[F.col(c).alias(f"{c}{n}") for c in ("ux", "uy", "vx", "vy")], "ci", "cj") for n in (1, 2))
     share = geo.crossing(*[F.col(f"{c}{n}") for n in (1, 2) for c in ("ux", "uy", "vx", "vy")])
     return a.join(b, ["ci", "cj"]).where("s1 < s2").select("s1", "s2", share.alias("share")).where("share is not null").distinct()
+
+
+def holes(found: DataFrame, vertices: DataFrame, kept: DataFrame) -> DataFrame:
+    """hole, vid, on_border: islands of faces that have a corner outside `kept`, as their vertices; faces touch by their sides.
+
+    A hole's name is its least face; found: fid, u, v, w; vertices: vid, border; kept: vid.
+    """
+    corners = found.select("fid", F.explode(F.array("u", "v", "w")).alias("vid"))
+    left = stage(found.join(corners.join(kept, "vid", "left_anti").select("fid").distinct(), "fid", "left_semi"))
+    side = lambda a, b: F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
+    sides = left.select("fid", F.explode(F.array(side("u", "v"), side("v", "w"), side("u", "w"))).alias("side"))
+    # Two faces meet at a side, three or more on no surface: each is tied to the side's least face.
+    tied = sides.groupBy("side").agg(F.min("fid").alias("a"), F.max("fid").alias("b")).where("a < b").select("a", "b").distinct()
+    islands = components(left.select(F.col("fid").alias("id")), tied).select(F.col("id").alias("fid"), F.col("component").alias("hole"))
+    own = left.select("fid", F.explode(F.array("u", "v", "w")).alias("vid")).join(islands, "fid").select("hole", "vid").distinct()
+    return own.join(vertices.select("vid", F.col("border").alias("on_border")), "vid")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,20 +76,23 @@ def islands(rows: DataFrame, key: str, at: str, missing: Column) -> DataFrame:
 def ewma(rows: DataFrame, key: str, at: str, value: str, rate: float = 0.5) -> DataFrame:
     """key, at, value, ewma: exponential smoothing with uneven steps, alpha = 1 - exp(-rate * 2 (n - 1) step / span).
 
-    A key's series is one array, folded in order; the value of a series with one sample is that sample.
+    The value of a series with one sample is that sample; without a span all have the first one's.  Unrolled, a smoothed
+    value is the sum of alpha * value * exp(-(age of each earlier sample)), ages in units of 1 / rate.  The sum runs within stretches
+    of 256 units, so that no factor overflows, and takes over the stretch before; what is older weighs less than exp(-256), nothing in a double.
     """
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(value).cast("double").alias("v")))).alias("xs"))
-    scale = F.lit(2.0) * (F.size("xs") - 1) / (F.element_at("xs", -1)["t"] - F.element_at("xs", 1)["t"])
-    sized = listed.withColumn("scale", F.when(F.size("xs") > 1, scale).otherwise(0.0))
-    start = F.transform(F.slice("xs", 1, 1), lambda x: F.struct(x["t"].alias("t"), x["v"].alias("v"), x["v"].alias("e")))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        alpha = F.lit(1.0) - F.exp(F.lit(-rate) * F.col("scale") * (x["t"] - last["t"]))
-        return F.concat(acc, F.array(F.struct(x["t"].alias("t"), x["v"].alias("v"), (alpha * x["v"] + (F.lit(1.0) - alpha) * last["e"]).alias("e"))))
-
-    folded = sized.withColumn("out", F.aggregate(F.slice("xs", 2, 1_000_000_000), start, step))
-    return folded.select(key, F.explode("out").alias("o")).select(key, F.col("o.t").cast("long").alias(at), F.col("o.v").alias(value), F.col("o.e").alias("ewma"))
+    spans = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    width = (F.col("last") - F.col("first")).cast("double")
+    unit = F.when(width > 0, F.lit(2.0 * rate) * (F.col("n") - 1) / width).otherwise(0.0)
+    aged = rows.join(spans, key).select(key, at, F.col(value).cast("double").alias(value), (unit * (F.col(at) - F.col("first")).cast("double")).alias("age"))
+    order = [at, value]
+    step = F.col("age") - F.lag("age").over(Window.partitionBy(key).orderBy(*order))
+    weighed = aged.withColumn("part", F.floor(F.col("age") / 256)).withColumn("own", F.when(step.isNull(), F.col(value)).otherwise((1 - F.exp(-step)) * F.col(value)))
+    grown = weighed.withColumn("own", F.col("own") * F.exp(F.col("age") - F.col("part") * 256))
+    totals = grown.groupBy(key, (F.col("part") + 1).alias("part")).agg(F.sum("own").alias("before"))
+    so_far = F.sum("own").over(Window.partitionBy(key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    summed = grown.withColumn("sum", so_far).join(totals, [key, "part"], "left")
+    older = F.coalesce(F.col("before"), F.lit(0.0)) * F.lit(math.exp(-256))
+    return summed.select(key, at, value, ((F.col("sum") + older) * F.exp(F.col("part") * 256 - F.col("age"))).alias("ewma"))
 
 
 def snapshot_changes(edges: DataFrame, snapshot: str) -> DataFrame:

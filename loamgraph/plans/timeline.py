@@ -69,7 +69,9 @@ HOURS = ", hours AS (SELECT key, sec//21600 AS sec, avg(value) AS value FROM kno
 
 
 def _hours(t: Tables) -> DataFrame:
-    return settled(t).where("value is not null").groupBy("key", F.floor(F.col("sec") / 21600).alias("sec")).agg(F.avg("value").alias("value"))
+    # Decimals add up alike in any order of the rows.
+    exact = F.col("value").cast("decimal(20,8)")
+    return settled(t).where("value is not null").groupBy("key", F.floor(F.col("sec") / 21600).alias("sec")).agg(F.avg(exact).cast("double").alias("value"))
 
 
 @query(LAT + HOURS + "SELECT key, sec, round(e, 5) AS ewma FROM ew")

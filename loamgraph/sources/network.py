@@ -99,7 +99,7 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     head = spark.createDataFrame([(0, "\n".join([*heads, '<graph edgedefault="undirected">']))], "o int, value string")
     tail = spark.createDataFrame([(3, "</graph></graphml>")], "o int, value string")
     # A document is one file in order.
-    head.unionByName(lines[0]).unionByName(lines[1]).unionByName(tail).coalesce(1).sortWithinPartitions("o", "value").select("value").write.text(path)
+    head.unionByName(lines[0]).unionByName(lines[1]).unionByName(tail).repartition(1).sortWithinPartitions("o", "value").select("value").write.text(path)
 
 
 def write_snapshots(links: DataFrame, path: str) -> None:
@@ -117,3 +117,18 @@ def read_link_names(spark: SparkSession, path: str) -> DataFrame:
     """Distinct node names of lines '<net>-<a>-<b>-<capacity>-<number>'."""
     p = F.split("value", "-")
     return spark.read.text(path).where(F.size(p) > 2).select(F.explode(F.array(p[1], p[2])).alias("id")).distinct()
+
+
+def write_distances(rows: DataFrame, path: str) -> None:
+    """source, destination, geodesic_distance as CSV files with a head line."""
+    rows.select("source", "destination", "geodesic_distance").write.csv(path, header=True)
+
+
+def write_fits(rows: DataFrame, path: str) -> None:
+    """One JSON record for each fitted surface: parameters, heights before (initial) and after (final), and whatever else it has."""
+    rows.write.json(path, ignoreNullFields=False)
+
+
+def read_fits(spark: SparkSession, path: str, parameters: str) -> DataFrame:
+    """run, parameters, initial, final of written fits; `parameters` is the schema of their settings."""
+    return spark.read.json(path, schema=f"run long, parameters struct<{parameters.replace(' ', ': ', 1)}>, initial array<double>, final array<double>")
