@@ -25,6 +25,29 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(documents(spark, sf_dir))
 
 
+#: Hex digits stand for the bytes, two each; a string starts a new run where it doesn't touch the run before.
+OP1_SQL = """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), g AS MATERIALIZED (
+  SELECT rid, p, md5_number(substr(h, CAST(2 * p + 1 AS BIGINT), 400)) AS k FROM (SELECT rid, h, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200)
+), s AS (
+  SELECT rid, p FROM g SEMI JOIN (SELECT k FROM g GROUP BY k HAVING count(*) > 1) AS again USING (k)
+), r AS (
+  SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS run FROM (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM s)
+), runs AS (
+  SELECT rid, min(p) AS a, max(p) + 200 AS b FROM r GROUP BY rid, run
+), before AS (
+  SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS done FROM runs
+), cut AS (
+  SELECT rid, sum(b - a) AS removed, count(*) AS spans, max(b) AS rest, string_agg(substr(h, CAST(2 * done + 1 AS BIGINT), CAST(2 * (a - done) AS BIGINT)), '' ORDER BY a) AS kept FROM before JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE concat(kept, substr(h, CAST(2 * rest + 1 AS BIGINT))) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)
+"""
+
+
 def op2_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -45,6 +68,28 @@ def op6_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(documents(spark, sf_dir), width=3, percent=90)
 
 
+#: Links between texts with one set of shingles are those of its least row; components spread by their least row.
+OP6_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), e AS MATERIALIZED (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])))) END AS own FROM d
+), c AS MATERIALIZED (
+  SELECT own, len(own) AS n, min(rid) AS cid FROM e GROUP BY own
+), x AS MATERIALIZED (
+  SELECT cid, n, unnest(own) AS shingle FROM c
+), link AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.cid AS a, y.cid AS b, x.n + y.n - count(*) AS whole, count(*) AS common FROM x JOIN x y ON x.shingle = y.shingle AND x.cid <> y.cid AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY x.cid, y.cid, x.n, y.n) WHERE 100 * common >= 90 * whole
+), reach AS (
+  SELECT cid AS a, cid AS b FROM c UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+), part AS (
+  SELECT a AS cid, min(b) AS part FROM reach GROUP BY a
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY part) END AS component_id
+FROM e JOIN c USING (own) JOIN part USING (cid)
+"""
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
 
@@ -91,4 +136,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op1_suffix_array": OP1_SQL, "op6_signature_tree": OP6_SQL, "op9_exact_dedup": OP9_SQL}
