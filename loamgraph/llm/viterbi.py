@@ -21,6 +21,8 @@ from .text import mix64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of one length that advance together; long words advance in smaller companies.
 CELLS = 400_000
+#: Longer words are cut where no piece spans, so that their parts advance together.
+LONG = 48
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -105,21 +107,47 @@ class Viterbi:
             out.append(own.astype("<i4"))
         return out
 
+    def _parts(self, word: str) -> list[str]:
+        """The word cut wherever no piece spans the cut: the best segmentation of the whole is that of its parts in turn."""
+        n = len(word)
+        codes = mix64(_codes([word]).astype(np.uint64) + np.uint64(1))
+        spanned = np.zeros(n + 1, dtype=np.int32)
+        h = np.zeros(n, dtype=np.uint64)
+        for size in range(1, min(n, max(self.sizes)) + 1):
+            h = h[: n - size + 1] * _BASE + codes[size - 1 :]
+            if size > 1 and size in self.tables:
+                keys = self.tables[size][0]
+                at = np.searchsorted(keys, h)
+                at[at == len(keys)] = 0
+                starts = np.flatnonzero(keys[at] == h)
+                np.add.at(spanned, starts + 1, 1)
+                np.add.at(spanned, starts + size, -1)
+        cuts = [0, *(np.flatnonzero(np.cumsum(spanned)[1:n] == 0) + 1).tolist(), n]
+        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > self.memory:
             self.older, self.known = self.known, {}
         by_length: dict[int, list[str]] = {}
+        cut: dict[str, list[str]] = {}
         for w in words:
             if w in self.older:
                 self.known[w] = self.older[w]
+            elif len(w) > LONG:
+                cut[w] = self._parts(w)
             else:
                 by_length.setdefault(len(w), []).append(w)
+        found: dict[str, bytes] = {}
+        for p in set().union(*cut.values()):
+            by_length.setdefault(len(p), []).append(p)
         for n, own in by_length.items():
             step = max(1, CELLS // n)
             for a in range(0, len(own), step):
                 part = own[a : a + step]
                 for w, ids in zip(part, self._company(part, n)):
-                    self.known[w] = ids.tobytes()
+                    found[w] = ids.tobytes()
+        whole = {w: b"".join(map(found.__getitem__, parts)) for w, parts in cut.items()}
+        self.known.update((w, whole[w] if w in whole else found[w]) for w in words if w not in self.known)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian int32 bytes."""
@@ -159,7 +187,8 @@ def encode_decode(docs: DataFrame, model: str | None = None, id_col: str = "doc_
     """One row per document: doc_id, n_ids, ids, ids_crc32 (of little-endian unsigned 32-bit ids), exact.
 
     `exact` tells that decoding the ids gives the text back; U+2581 in a text comes back as a space.  One pass
-    without a shuffle.  Null counts as empty and has no ids; rows with null or repeated ids are
+    without a shuffle.  Null counts as empty and has no ids; very long texts are encoded whole, words of over LONG characters in parts
+    that no piece spans; ties go as in `pieces`; other columns are not read; rows with null or repeated ids are
     encoded like any other; an empty table gives an empty result.
     """
     path = model or default_path()

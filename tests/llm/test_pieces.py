@@ -38,6 +38,20 @@ def test_against_plain_programme(model, memory, nodes):
             assert coder.decode(ids) == t.replace("▁", " ")
 
 
+def test_long_words(model):
+    rng = random.Random(12)
+    letters = [chr(0x3040 + i) for i in range(80)] + [chr(0x4E00 + 37 * i) for i in range(200)] + ["😀", "a", "b", "th"]
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (47, 48, 49, 500, 4000)]
+    texts += ["a" * 3000, "".join(rng.choice("abcdefgh0123=/+") for _ in range(3000)), "x" * 60 + " " + "日本" * 900, "the" * 400]
+    coder, trie = Viterbi(model), CountTrie(model)
+    for t, data in zip(texts, coder.encode(texts)):
+        ids = np.frombuffer(data, "<i4")
+        assert ids.tolist() == plain_ids(model, t) and coder.decode(ids) == t
+        assert trie.counts_of(t)[1] == len(ids)
+        for w in model.words(t):
+            assert "".join(coder._parts(w)) == w
+
+
 def test_library_agrees_on_plain_words(model):
     """The library, told that the same pieces are a unigram model, gives the same ids where its single precision is exact."""
     import sentencepiece
@@ -62,7 +76,7 @@ def test_tables(spark, model):
     rows = {r.doc_id: r for r in encode_decode(table(spark, texts)).collect()}
     counts = {r.doc_id: r for r in token_counts(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
-        ids = plain_ids(model, t or "") if len(t or "") < 2000 else list(rows[i].ids)
+        ids = plain_ids(model, t or "")
         assert list(rows[i].ids) == ids and rows[i].exact and rows[i].n_ids == counts[i].n_tokens == len(ids)
         assert counts[i].n_bytes == len((t or "").encode())
     for op in (encode_decode, token_counts):
