@@ -8,10 +8,14 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, narrow
+from .common import STORES, blocks, narrow, release
 from .pieces import SPACE, Pieces, default_path, pieces
 
 
+#: Nodes of a worker's trie: it stays between tasks, so that later ones find the common prefixes.
+NODES = 900_000
+
+
 class CountTrie:
     """Each node stands for a prefix and holds its best score and the number of tokens of its best segmentation.
 
@@ -19,7 +23,7 @@ class CountTrie:
     node is its token count.  Beyond `most` nodes the trie starts anew, which costs time only.
     """
 
-    def __init__(self, model: Pieces, most: int = 1_500_000):
+    def __init__(self, model: Pieces, most: int = NODES):
         self.model, self.most = model, most
         self._clear()
 
@@ -93,18 +97,29 @@ class CountTrie:
         return len(words), sum(map(counts.__getitem__, words))
 
 
+_tries: dict[str, CountTrie] = {}
+STORES["tries"] = [_tries]
+
+
+def trie_of(path: str) -> CountTrie:
+    """The worker's trie: a closure would be unpickled anew, and empty, in each task."""
+    if path not in _tries:
+        _tries[path] = CountTrie(pieces(path))
+    return _tries[path]
+
+
 def token_counts(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_words, n_tokens.
 
     Tokens are those of the best unigram segmentation of each word (see `pieces`).  The
-    work is one pass without a shuffle; a worker's trie shares prefixes over all its documents.  Null and empty texts
-    have no tokens; rows with null or repeated ids are counted like any other; an empty table gives an empty result.
+    work is one pass without a shuffle; a worker's trie shares prefixes over the documents of all its tasks.  Null and empty texts
+    have no tokens; very long ones are counted whole, a word at a time; ties go as in `pieces`; rows with null or repeated ids are counted like any other; an empty table gives an empty result.
     """
     path = model or default_path()
-    tries: dict[str, CountTrie] = {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = tries.get(path) or tries.setdefault(path, CountTrie(pieces(path)))
+        release("tries")
+        trie = trie_of(path)
         for batch in blocks(batches, "text", 4_000_000):
             texts = batch.column("text").to_pylist()
             found = list(chain.from_iterable(map(trie.counts_of, texts)))
