@@ -22,12 +22,26 @@ def library():
 @pytest.mark.parametrize("memory", [600_000, 50])
 def test_encoder_is_the_library(library, memory):
     rng = random.Random(3)
-    parts = [" ", "  ", "\n", "\t", "a", "B", "é", "1", "23", "'s", ".", "!!", "<|endoftext|>", "\xa0", "　", "x", "\x1c", "\x85", "​", "日本", "😀", "\r\n", "don't", "a.b", "(x)"]
+    parts = [" ", "  ", "\n", "\t", "a", "B", "é", "1", "23", "'s", ".", "!!", "<|endoftext|>", "\xa0", "　", "x", "\x1c", "\x85", "​", "日本", "😀", "\r\n", "don't", "a.b", "(x)", "×", "÷", "ɏ", "Ωmega", "–", "“q”", "\u3000", "<b>", "<|", ", ", ".\n", "z" * 23, "é" * 12, "\0"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)] + [t or "" for t in awkward(rng)]
     own = Encoder(default_path(), memory)
     for a in range(0, len(texts), 100):
-        for t, ids in zip(texts[a : a + 100], own.encode(texts[a : a + 100])):
-            assert np.frombuffer(ids, "<u4").tolist() == library(t)
+        # The second time all pieces are known, unless they have been forgotten.
+        for _ in range(2):
+            for t, ids in zip(texts[a : a + 100], own.encode(texts[a : a + 100])):
+                assert np.frombuffer(ids, "<u4").tolist() == library(t)
+
+
+def test_encoder_cuts_across_chunks_and_windows(library, monkeypatch):
+    from loamgraph.llm import tokens
+
+    monkeypatch.setattr(tokens, "_CHUNK", 7)
+    monkeypatch.setattr(tokens, "_WINDOW", 5)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "Bé", " ", " ", "\n", ". ", "12", "\u2003", "–", "<|endoftext|>", "w" * 30]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    own = Encoder(default_path(), 40)
+    for a in range(0, len(texts), 20):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts[a : a + 20])] == list(map(library, texts[a : a + 20]))
 
 
 @pytest.mark.parametrize("unit", [1, 8])
