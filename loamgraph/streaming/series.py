@@ -60,3 +60,24 @@ def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     if query.exception():
         raise query.exception()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def updated(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """The last row of each key that a stream in update mode gives from what is there now.
+
+    Each batch is written to a folder of its own, anew if it is repeated; nothing comes to the driver, and the
+    stream's watermark lets go of state.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    schema = stream.schema.add("batch", "long")
+    rows = stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*")
