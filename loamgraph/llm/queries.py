@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .fingerprints import document_fingerprints
 from .jaccard import similarity_components
 from .language import language_table
 from .packing import pack
+from .periods import periodic_runs, run_digests
 from .quality import resample
 from .repeats import repeat_digests
 from .token_counts import token_counts
@@ -119,6 +121,65 @@ def op10_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir))
 
 
+def planted_period(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Every tenth document by hash, of n words, repeats from word a on with period p; one without an id doesn't."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    a = h // 10 % n
+    return a, 1 + (n - a) // (3 + h // 10 % 8)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(documents(spark, sf_dir), rewrite=planted_period))
+
+
+#: The CRC-32 of a string, by the table of the 256 bytes' remainders.
+CRC32 = """
+crc_table AS MATERIALIZED (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY b) AS remainders FROM (SELECT unnest(range(0, 256)) AS b)
+)"""
+
+
+def _crc32_of(text: str) -> str:
+    """The CRC-32 of a SQL string expression, where crc_table is joined."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, remainders[xor(c & 255, b) + 1])))"
+
+
+#: Six words that a text has twice, their distance q, and stretches of such places: each is a run where q is its smallest period.
+OP11_SQL = rf"""
+WITH {CRC32}, d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+), e AS (
+  SELECT rid, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32_of("CAST(doc_id AS VARCHAR)")} END AS h FROM d, crc_table
+), f AS (
+  SELECT rid, doc_id, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN h // 10 % n ELSE n END AS a, h // 10 AS g FROM e
+), t AS MATERIALIZED (
+  SELECT rid, doc_id, n, list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) AS w FROM f
+), gram AS MATERIALIZED (
+  SELECT rid, i, md5_number(array_to_string(w[i + 1 : i + 6], ' ')) AS k FROM (SELECT rid, w, unnest(range(0, n - 5)) AS i FROM t)
+), pair AS (
+  SELECT x.rid, x.i, y.i - x.i AS q FROM gram x JOIN gram y ON x.rid = y.rid AND x.k = y.k AND y.i > x.i
+), stretch AS (
+  SELECT rid, q, min(i) AS a, max(i) + 6 + q AS b FROM (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS part FROM pair) GROUP BY rid, q, part
+), long AS MATERIALIZED (
+  SELECT rid, a, b, q FROM stretch WHERE b - a >= 12 AND b - a >= 2 * q
+), run AS MATERIALIZED (
+  SELECT * FROM long x WHERE NOT EXISTS (SELECT 1 FROM long y WHERE y.rid = x.rid AND y.q < x.q AND y.a <= x.a AND y.b >= x.b)
+), per AS (
+  SELECT rid, count(*) AS n_runs, arg_min([a, b - a, q], [a - b, a, q]) AS best, string_agg(concat(a, ',', b - a, ',', q, chr(10)), '' ORDER BY a, q) AS lines FROM run GROUP BY rid
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(a + q, b)) AS i FROM run
+), rest AS (
+  SELECT rid, string_agg(w[i + 1], ' ' ORDER BY i) AS kept FROM (SELECT rid, w, unnest(range(0, n)) AS i FROM t SEMI JOIN run USING (rid)) ANTI JOIN gone USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(CASE WHEN n_runs IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS collapsed_sha256
+FROM t LEFT JOIN per USING (rid) LEFT JOIN rest USING (rid)
+"""
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_suffix_array,
@@ -131,9 +192,10 @@ def queries() -> dict[str, Query]:
         op8_bit_planes,
         op9_exact_dedup,
         op10_viterbi,
+        op11_periodic_runs,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array": OP1_SQL, "op6_signature_tree": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_suffix_array": OP1_SQL, "op6_signature_tree": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_periodic_runs": OP11_SQL}
