@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontaminate import contamination, contamination_digests
 from .exact_dedup import exact_groups
 from .fingerprints import document_fingerprints
 from .jaccard import similarity_components
 from .language import language_table
+from .ngram_resampling import importance_resample
 from .packing import pack
 from .periods import periodic_runs, run_digests
 from .quality import resample
@@ -150,7 +152,8 @@ def _crc32_of(text: str) -> str:
 #: Six words that a text has twice, their distance q, and stretches of such places: each is a run where q is its smallest period.
 OP11_SQL = rf"""
 WITH {CRC32}, d AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents
 ), e AS (
   SELECT rid, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32_of("CAST(doc_id AS VARCHAR)")} END AS h FROM d, crc_table
 ), f AS (
@@ -180,6 +183,69 @@ FROM t LEFT JOIN per USING (rid) LEFT JOIN rest USING (rid)
 """
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digests(contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def _words_of(text: str) -> str:
+    """The lowered words of letters, digits and characters beyond ASCII of a SQL string expression."""
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP12_SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, {_words_of("text")} AS w FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_words_of("text")} AS w FROM benchmark
+), win AS MATERIALIZED (
+  SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS k FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)
+), own AS (
+  SELECT rid, n, i, array_to_string(w[i + 1 : i + n], ' ') AS k FROM (SELECT rid, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), hit AS MATERIALIZED (
+  SELECT rid, i, n, k FROM own SEMI JOIN win USING (n, k)
+), word AS (
+  SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM hit) GROUP BY rid
+), item AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit JOIN win USING (n, k)) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN word USING (rid) LEFT JOIN item USING (rid)
+"""
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP13_SQL = f"""
+WITH {CRC32}, d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, {_words_of("text")} AS w FROM documents
+), own AS MATERIALIZED (
+  SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(w) AS word FROM d) GROUP BY rid, word
+), aim AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest({_words_of("text")}) AS word FROM benchmark) GROUP BY word
+), word AS MATERIALIZED (
+  SELECT word, {_crc32_of("word")} % 10000 AS bucket FROM (SELECT word FROM own UNION SELECT word FROM aim), crc_table
+), s AS (
+  SELECT bucket, sum(n) AS s FROM own JOIN word USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, sum(n) AS t FROM aim JOIN word USING (word) GROUP BY bucket
+), gain AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM own) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM aim), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)
+), per AS (
+  SELECT rid, sum(n) AS n_features, sum(n * gain) AS weight FROM own JOIN word USING (word) JOIN gain USING (bucket) GROUP BY rid
+), scored AS (
+  SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN per USING (rid)
+), drawn AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS FIRST, n_features, rid) AS rank FROM scored WHERE n >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM drawn) // 100 THEN rank END AS rank
+FROM scored LEFT JOIN drawn USING (rid)
+"""
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_suffix_array,
@@ -193,9 +259,11 @@ def queries() -> dict[str, Query]:
         op9_exact_dedup,
         op10_viterbi,
         op11_periodic_runs,
+        op12_decontamination,
+        op13_resampling,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array": OP1_SQL, "op6_signature_tree": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_periodic_runs": OP11_SQL}
+    return {"op1_suffix_array": OP1_SQL, "op6_signature_tree": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_resampling": OP13_SQL}
