@@ -16,8 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null document id inside operators, so that joins keep the row.
-NULL_ID = -(2**63)
+#: The smallest long: where rows without an id stand in ranges and draws, beside those that have this id.
+LOWEST_ID = -(2**63)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

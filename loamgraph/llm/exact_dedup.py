@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, key128, narrow, staged
+from .common import key128, narrow, staged
 
 #: Runs of these characters count as one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -27,24 +27,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null text counts as empty, and empty texts are equal.  A null id sorts before
     all others.  Rows repeated with the same id are one document given twice: the
-    row kept is marked on each of them.  An empty table gives an empty result.
+    row kept is marked on each of them.  An empty table gives an empty result.  Very long texts are hashed and compared whole.
+    Other columns are not read, whatever their names.
     """
-    base = normalised(narrow(docs, id_col, text_col)).withColumn("h", key128("text")).withColumn("k", F.coalesce("doc_id", F.lit(NULL_ID)))
-    texts = base.groupBy("h", "text").agg(F.min("k").alias("keep"), F.count(F.lit(1)).alias("n"))
-    summed = texts.groupBy("h").agg(F.count(F.lit(1)).alias("variants"), F.min("keep").alias("keep"), F.sum("n").alias("n"))
+    base = normalised(narrow(docs, id_col, text_col)).withColumn("h", key128("text"))
+    # A missing id is a flag of its own, so that every long may be an id.
+    own_id = [F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("none"), F.count(F.lit(1)).alias("n")]
+    texts = base.groupBy("h", "text").agg(*own_id)
+    summed = texts.groupBy("h").agg(F.count(F.lit(1)).alias("variants"), F.min("low").alias("low"), F.max("none").alias("none"), F.sum("n").alias("n"))
     groups = staged(summed, "exact-groups")
-    ids = base.select("doc_id", "k", "h", F.sha2("text", 256).alias("text_sha256"))
+    ids = base.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"))
     plain = ids.join(groups.where("variants = 1").drop("variants"), "h")
     clashes = groups.where("variants > 1").select("h")
     if not clashes.isEmpty():
         apart = base.join(clashes, "h", "left_semi")
-        own = apart.groupBy("h", "text").agg(F.min("k").alias("keep"), F.count(F.lit(1)).alias("n"))
-        plain = plain.unionByName(apart.join(own, ["h", "text"]).select("h", "doc_id", "k", F.sha2("text", 256).alias("text_sha256"), "keep", "n"))
+        own = apart.groupBy("h", "text").agg(*own_id)
+        plain = plain.unionByName(apart.join(own, ["h", "text"]).select("h", "doc_id", F.sha2("text", 256).alias("text_sha256"), "low", "none", "n"))
+    keep = F.when(~F.col("none"), F.col("low"))
     return plain.select(
         "doc_id",
-        F.when(F.col("keep") != NULL_ID, F.col("keep")).alias("keep_id"),
+        keep.alias("keep_id"),
         F.col("n").alias("group_size"),
-        (F.col("k") == F.col("keep")).alias("kept"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )
 
@@ -54,6 +58,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     The rows that go are the few; they leave by an anti join on (id, hash).
     """
-    kept = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACES, " "), 256)
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (sha == kept["_sha"]), "left_anti")
+    gone = exact_groups(docs).where("not kept").select(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias("key")).distinct()
+    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), SPACES, " "), 256)
+    rows = docs.select(F.struct("*").alias("row"), F.struct(docs["doc_id"].cast("long").alias("id"), sha.alias("sha")).alias("key"))
+    left = rows.join(gone, rows["key"]["id"].eqNullSafe(gone["key"]["id"]) & (rows["key"]["sha"] == gone["key"]["sha"]), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, narrow
+from .common import LOWEST_ID, narrow
 from .text import mix64
 from .winnow import window_minima
 
@@ -74,7 +74,7 @@ def _compare(rows: list[tuple[int, str]], last: str) -> pa.RecordBatch:
     new = fingerprints(changed)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([i if i != NULL_ID else None for i, _ in rows], pa.int64()),
+            pa.array([i for i, _ in rows], pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
             pa.array([written(x) for x in own[:-1]]),
@@ -114,11 +114,13 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     as many as shuffle partitions, comes to the driver.
 
     Null text counts as empty.  Documents are in ascending order of id, null ids
-    first; rows with equal ids are in order of their texts.  A table
-    of one row is its own next; an empty table gives an empty result.
+    first; rows with equal ids are in order of their texts, and repeated rows follow each other.  A table
+    of one row is its own next; an empty table gives an empty result.  Very long texts are fingerprinted whole.
+    Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
-    base = narrow(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    # Ranges take no id for the smallest one; in a range, rows without an id are first.
+    base = narrow(docs, id_col, text_col).withColumn("place", F.coalesce("doc_id", F.lit(LOWEST_ID)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +128,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if low:
             yield pa.RecordBatch.from_arrays([pa.array([min(low)], pa.int64())], names=["low"])
 
-    lows = base.select("doc_id").repartitionByRange(2 * parts, "doc_id").mapInArrow(firsts, "low long").collect()
+    lows = base.select("place").repartitionByRange(2 * parts, "place").mapInArrow(firsts, "low long").collect()
     bounds = np.array(sorted({r["low"] for r in lows}), dtype=np.int64)
     if not len(bounds):
         return spark.createDataFrame([], SCHEMA)
@@ -139,7 +141,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pd.Series([[int(r), int(r - 1) if r else top] if f else [int(r)] for r, f in zip(at, first)])
 
     # A copy of each row with a range's first id stands after the range before; of several, the first counts.
-    spread = base.select("*", F.posexplode(targets("doc_id")).alias("after", "target"))
+    spread = base.select("*", F.posexplode(targets("place")).alias("after", "target"))
     sorted_rows = spread.repartition(2 * parts, "target").sortWithinPartitions("target", "after", "doc_id", "text")
     return sorted_rows.select("target", "after", "doc_id", "text").mapInArrow(_one_after, "target int, doc_id long, text string").mapInArrow(_ranges, SCHEMA)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, blocks, narrow, packed, staged, summed, utf8
+from .common import LOWEST_ID, blocks, narrow, packed, staged, summed, utf8
 from .text import hash_words, mix64
 
 BUCKETS = 1 << 14
@@ -103,9 +103,10 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int =
 
     The target are documents labelled quality 1; raw counts cover all documents.  ceil(keep * rows) rows are kept, by
     key, ties by smaller id; rows with equal key and id share their fate.  Null text counts as empty, and a
-    text without words has the lowest weight.  Null ids draw as one id and come back as null.  Without labels all weights are equal.
+    text without words has the lowest weight.  Null ids draw as the smallest long, share its fate and come back as null; so do repeated rows.
+    Very long texts are weighed whole; an empty table gives an empty result; other columns are not read, whatever their names.  Without labels all weights are equal.
     """
-    base = narrow(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "text")
+    base = narrow(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(LOWEST_ID)).alias("did"), "text")
     # At most target_rows ids: a bounded table, so it may be broadcast.
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("did")).distinct().orderBy(F.xxhash64("did"), "did").limit(target_rows)
     target = _counts(base.join(F.broadcast(staged(good, "target-ids")), "did", "left_semi"))
@@ -115,9 +116,9 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int =
         for batch in blocks(batches, "text", 1_000_000):
             weight = weigh(utf8(batch.column("text")), ratios)
             key = weight + gumbel(batch.column("did").to_numpy(), seed)
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(weight), pa.array(key), pa.array(_ordered(key))], names=["did", "log_weight", "sort_key", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("did"), pa.array(weight), pa.array(key), pa.array(_ordered(key))], names=["doc_id", "did", "log_weight", "sort_key", "place"])
 
-    scored = staged(base.mapInArrow(score, "did long, log_weight double, sort_key double, place long"), "quality-scores")
+    scored = staged(base.mapInArrow(score, "doc_id long, did long, log_weight double, sort_key double, place long"), "quality-scores")
     k = int(np.ceil(keep * scored.count()))
     if not k:
         kept = F.lit(False)
@@ -126,4 +127,4 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int =
         tied = scored.where(F.col("place") == F.lit(t)).select(F.bitwise_not("did").alias("low"))
         low, _ = threshold(tied, "low", more)
         kept = (F.col("place") > F.lit(t)) | ((F.col("place") == F.lit(t)) & (F.col("did") <= F.lit(-low - 1)))
-    return scored.select(F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id"), "log_weight", "sort_key", kept.alias("kept"))
+    return scored.select("doc_id", "log_weight", "sort_key", kept.alias("kept"))

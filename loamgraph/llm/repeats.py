@@ -51,7 +51,7 @@ def _anchors(length: int):
             take = pa.array(doc)
             # One long for the first start and the number of starts after it, which is less than the length.
             at = (lo << 16) | (hi - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("k1").take(take), batch.column("k2").take(take), pa.array(at)], names=["gram", "k1", "k2", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(batch.column(c).take(take) for c in ("k1", "k2", "times")), pa.array(at)], names=["gram", "k1", "k2", "times", "at"])
 
     return tidied(anchors)
 
@@ -61,26 +61,25 @@ def _segments(length: int):
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
         def found() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "part", "k1", "k2", "start", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "part", "k1", "k2", "times", "start", "bytes"])
 
         for batch in blocks(batches, "z", 1_000_000):
             rows: list[tuple] = []
             held = 0
-            for k1, k2, packed, size, at, owner in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "z", "n_bytes", "ats", "owners"))):
+            for k1, k2, times, packed, size, at, owner in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "times", "z", "n_bytes", "ats", "owners"))):
                 text = press.decompress(packed, max_output_size=size) if size else b""
                 at, owner = np.array(at, dtype=np.int64), np.array(owner, dtype=np.int64)
-                # Repeated rows collected their places together: a place counts once, and the row as often as it is there.
-                at, once = np.unique(at, return_index=True)
-                owner = owner[once]
+                order = np.argsort(at)
+                at, owner = at[order], owner[order]
                 lo = at >> 16
                 hi = lo + (at & 0xFFFF)
                 new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (lo[1:] != hi[:-1] + 1)]))
                 for a, b, own in zip(lo[new].tolist(), hi[np.append(new[1:], len(at)) - 1].tolist(), owner[new].tolist()):
                     part = text[a : b + length]
-                    rows.append((own, xxhash.xxh3_128_digest(part), k1, k2, a, part))
+                    rows.append((own, xxhash.xxh3_128_digest(part), k1, k2, times, a, part))
                     held += len(part)
                 if held > 8_000_000:
                     yield found()
@@ -203,19 +202,24 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in blocks(batches, "text", 4_000_000):
             raw = utf8(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([squeeze.compress(r) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=["k1", "k2", "z", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "times")), pa.array([squeeze.compress(r) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=["k1", "k2", "times", "z", "n_bytes"])
 
     packed = F.struct("at", "bucket")
-    anchors = staged(base.mapInArrow(_anchors(length), "gram long, k1 long, k2 long, at long"), "anchors")
-    buckets = staged(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("bucket")).where("n > 1").drop("n"), "buckets")
+    # Equal rows are handled once, and count as often as they are there: usually there are none, and texts needn't move.
+    again = staged(base.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated-rows")
+    once = base.withColumn("times", F.lit(1).cast("long"))
+    if not again.isEmpty():
+        once = base.dropDuplicates(["k1", "k2"]).join(again, ["k1", "k2"], "left").withColumn("times", F.coalesce("times", F.lit(1).cast("long")))
+    anchors = staged(once.mapInArrow(_anchors(length), "gram long, k1 long, k2 long, times long, at long"), "anchors")
+    buckets = staged(anchors.groupBy("gram").agg(F.sum("times").alias("n"), F.min("k1").alias("bucket")).where("n > 1").drop("n"), "buckets")
     marked = anchors.join(buckets, "gram").groupBy("k1", "k2").agg(F.collect_list(packed).alias("marks")).select("k1", "k2", F.col("marks.at").alias("ats"), F.col("marks.bucket").alias("owners"))
     # Documents that no gram points to leave here; the texts of the others are kept, compressed.
-    pressed = base.mapInArrow(tidied(press), "k1 long, k2 long, z binary, n_bytes long")
+    pressed = once.mapInArrow(tidied(press), "k1 long, k2 long, times long, z binary, n_bytes long")
     suspects = staged(pressed.join(marked, ["k1", "k2"]), "suspects")
-    parts = suspects.mapInArrow(_segments(length), "bucket long, part binary, k1 long, k2 long, start long, bytes binary")
-    texts = staged(parts.groupBy("bucket", "part").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies")), "bucket-texts")
+    parts = suspects.mapInArrow(_segments(length), "bucket long, part binary, k1 long, k2 long, times long, start long, bytes binary")
+    texts = staged(parts.groupBy("bucket", "part").agg(F.max("bytes").alias("bytes"), F.sum("times").alias("copies")), "bucket-texts")
     marks = _marks(texts, length, bucket_bytes, finer_widths(length))
-    places = parts.select("bucket", "part", "k1", "k2", "start").distinct().join(marks, ["bucket", "part"])
+    places = parts.select("bucket", "part", "k1", "k2", "start").join(marks, ["bucket", "part"])
     spans = places.select("k1", "k2", F.explode(F.arrays_zip(F.transform("froms", lambda x: x + F.col("start")).alias("a"), F.transform("tos", lambda x: x + F.col("start")).alias("b"))).alias("span"))
     per_doc = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
@@ -239,8 +243,7 @@ def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text
                 rows.append((k1, k2, removed, runs, rest.decode("utf-8", "ignore").encode() if characters else rest))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "n_removed", "n_spans", "rest"])
 
-    once = suspects.dropDuplicates(["k1", "k2"]).select("k1", "k2", "z", "n_bytes")
-    cuts = once.join(per_doc, ["k1", "k2"]).mapInArrow(tidied(cut), "k1 long, k2 long, n_removed long, n_spans long, rest binary")
+    cuts = suspects.select("k1", "k2", "z", "n_bytes").join(per_doc, ["k1", "k2"]).mapInArrow(tidied(cut), "k1 long, k2 long, n_removed long, n_spans long, rest binary")
     return base, cuts
 
 
