@@ -85,31 +85,6 @@ def hop_distances(n: int, edges: list[tuple[int, int]], weights: list[float] | N
     return out
 
 
-def ricci_curvature(n: int, edges: list[tuple[int, int]], alpha: float = 0.0, weights: list[float] | None = None, mass: list[float] | None = None, power: float = 0.0) -> list[float]:
-    """(1 - W1 / d) / (1 - alpha) of each edge: how much nearer the neighbourhoods are than their centres.
-
-    A node spreads 1 - alpha over its neighbours, in proportion to edge `mass` (even without; divided by distance to the
-    `power`), and keeps alpha.
-    """
-    distance = hop_distances(n, edges, weights)
-    share = np.zeros((n, n))
-    for k, (a, b) in enumerate(edges):
-        value = 1.0 if mass is None else float(mass[k])
-        if power:
-            value /= distance[a, b] ** power
-        share[a, b] += value
-        share[b, a] += value
-    total = share.sum(axis=1)
-    spread = np.divide(share, total[:, None], out=np.zeros_like(share), where=total[:, None] > 0) * (1 - alpha)
-    spread[np.arange(n), np.arange(n)] += np.where(total > 0, alpha, 1.0)
-    out = []
-    for k, (a, b) in enumerate(edges):
-        x, y = np.flatnonzero(spread[a]), np.flatnonzero(spread[b])
-        d = 1.0 if weights is None else float(weights[k])
-        out.append((1 - transport_cost(spread[a, x], spread[b, y], distance[np.ix_(x, y)]) / d) / (1 - alpha))
-    return out
-
-
 def minimise(value_and_slope, start: np.ndarray, low=None, high=None, memory: int = 8, rounds: int = 200, tolerance: float = 1e-8) -> np.ndarray:
     """A minimum within bounds: limited-memory quasi-Newton steps, projected, with backtracking."""
     clip = lambda x: np.clip(x, low, high) if low is not None or high is not None else x
@@ -508,30 +483,6 @@ def infer_routes(n: int, edges: list[tuple[int, int]], bounds: np.ndarray, rtts:
     return best
 
 
-def augmented_curvature(n: int, edges: list[tuple[int, int]], alpha: float = 0.0) -> list[float]:
-    """Edge curvature where each end sees the other only through a copy of it that hangs on the end itself.
-
-    The copy (x, y) lies d(x, y) beyond x, so the shares of x and y for each other travel over both ends.
-    """
-    distance = hop_distances(n, edges)
-    near: list[list[int]] = [[] for _ in range(n)]
-    for a, b in edges:
-        near[a].append(b)
-        near[b].append(a)
-    out = []
-    for a, b in edges:
-        sides = []
-        for x, y in ((a, b), (b, a)):
-            # Places as (node, extra length beyond it).
-            places = [(z, 0.0) for z in near[x] if z != y] + [(x, distance[x, y])]
-            masses = [(1 - alpha) / len(places)] * len(places)
-            sides.append(([*places, (x, 0.0)], np.array([*masses, alpha])))
-        cost = np.array([[distance[p, q] + s + t for q, t in sides[1][0]] for p, s in sides[0][0]])
-        d = distance[a, b]
-        out.append((1 - transport_cost(sides[0][1], sides[1][1], cost) / d) / (1 - alpha))
-    return out
-
-
 def commute_distances(n: int, edges: list[tuple[int, int]], weights: list[float] | None = None) -> np.ndarray:
     """Mean steps of a random walk from each node to each other and back, by the Laplacian's pseudo-inverse; inf if apart."""
     lap = np.zeros((n, n))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.stage import stage
 from . import clusters as C
 from . import edges as E
-from . import numeric as N
 from . import paths as P
+from . import transport as W
 from . import triangles as T
 
 
@@ -25,6 +25,7 @@ def measured_graph(
     curvature: bool = True,
     alpha: float = 0.0,
     weighted: bool = False,
+    transport: bool = False,
 ) -> tuple[DataFrame, DataFrame | None]:
     """(edges, mapping): a, b, rtt_us, throughput, gcl_us and curvature; mapping (id, rep) where nodes were clustered.
 
@@ -32,7 +33,7 @@ def measured_graph(
     edge a pair; with `delays` (like links) these give the edges and the links only throughput; the longest sides of triangles that
     break the triangle inequality go; edges more than `epsilon_us` above their bound go; nodes closer than `cluster_radians`
     become one.  Curvature is that of the traffic if `routes` (route_id, route, volume) are given, moved to the clusters
-    before, and the mean of both directions; pairs that no route passes have null.  Else it is Ollivier and Ricci's.
+    before, and the mean of both directions; pairs that no route passes have null; with `transport` it is that of the least cost between the routes' places.  Else it is Ollivier and Ricci's.
     """
     known = lambda rows: E.known_ends(E.drop_self_loops(rows), nodes)
     edges = E.dedupe_edges(known(links))
@@ -55,13 +56,13 @@ def measured_graph(
         return edges, mapping
     edges = stage(edges)
     if routes is None:
-        found = N.ricci(edges.withColumn("graph", F.lit(0)), "graph", alpha=alpha, weighted=weighted).select("a", "b", "curvature")
+        found = W.ricci(edges, alpha=alpha, weighted=weighted)
     else:
         adjacent = stage(P.adjacency(edges, "rtt_us"))
         distances = P.closure(adjacent, stage(nodes.select("id")))
         shortest = stage(P.routes(P.predecessors(distances, adjacent), nodes.select("id")))
         # A hop whose edge has gone takes the shortest way; routes that can't be mended go.
         whole = stage(P.fix_routes(routes.select("route_id", "route"), shortest).join(routes.select("route_id", "volume"), "route_id"))
-        both = E.merge_curvatures(P.traffic_curvature(adjacent.select("u", "v"), adjacent, distances, whole).withColumnsRenamed({"u": "source", "v": "target"}))
+        both = E.merge_curvatures((W.transport_curvature if transport else P.traffic_curvature)(adjacent.select("u", "v"), adjacent, distances, whole).withColumnsRenamed({"u": "source", "v": "target"}))
         found = both.select("a", "b", "curvature")
     return edges.join(found, ["a", "b"], "left"), mapping

@@ -10,21 +10,6 @@ from pyspark.sql import functions as F
 from . import kernels as N
 
 
-def ricci(edges: DataFrame, by: str, alpha: float = 0.0, weighted: bool = False) -> DataFrame:
-    """by, a, b, curvature: Ollivier-Ricci curvature of each graph's edges; hops, or rtt_us if weighted."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        place = {x: k for k, x in enumerate(names)}
-        pairs = [(place[a], place[b]) for a, b in zip(pdf["a"], pdf["b"])]
-        values = N.ricci_curvature(len(names), pairs, alpha, pdf["rtt_us"].tolist() if weighted else None)
-        return pd.DataFrame({by: pdf[by].to_numpy(), "a": pdf["a"].to_numpy(), "b": pdf["b"].to_numpy(), "curvature": values})
-
-    kind = dict(edges.dtypes)
-    return edges.select(by, "a", "b", "rtt_us").groupBy(by).applyInPandas(run, f"{by} {kind[by]}, a {kind['a']}, b {kind['b']}, curvature double")
-
-
 def tomography(hop_rows: DataFrame, link_shares: DataFrame, prior: DataFrame, by: str, weight: float = 0.01) -> DataFrame:
     """by, route_id, share: traffic of each route from the links' shares.
 
@@ -177,20 +162,6 @@ def inferred_routes(edges: DataFrame, rtts: DataFrame, by: str, rounds: int = 6)
     return edges.groupBy(by).cogroup(rtts.groupBy(by)).applyInPandas(run, f"{by} {kind[by]}, s {kind['a']}, t {kind['a']}, route array<long>, fitted double, r2 double")
 
 
-def augmented_ricci(edges: DataFrame, by: str, alpha: float = 0.0) -> DataFrame:
-    """by, a, b, curvature on the graph with a copy of each neighbour hung on every node."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        place = {x: k for k, x in enumerate(names)}
-        values = N.augmented_curvature(len(names), [(place[a], place[b]) for a, b in zip(pdf["a"], pdf["b"])], alpha)
-        return pd.DataFrame({by: pdf[by].to_numpy(), "a": pdf["a"].to_numpy(), "b": pdf["b"].to_numpy(), "curvature": values})
-
-    kind = dict(edges.dtypes)
-    return edges.select(by, "a", "b").groupBy(by).applyInPandas(run, f"{by} {kind[by]}, a {kind['a']}, b {kind['b']}, curvature double")
-
-
 def commute(edges: DataFrame, by: str) -> DataFrame:
     """by, s, t, steps: commute times of all connected pairs."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.stage import stage
+from ..plans.stage import counted_stage, stage
 from .edges import mirrored
 
 
@@ -14,26 +14,26 @@ def adjacency(edges: DataFrame, weight: str) -> DataFrame:
     return mirrored(edges.select("a", "b", F.col(weight).alias("w")))
 
 
-def closure(adjacent: DataFrame, nodes: DataFrame, by: list[str] | None = None, most_rounds: int = 40) -> DataFrame:
-    """s, t, d: the shortest distance of each pair that is connected, by min-plus squaring.
+def closure(adjacent: DataFrame, nodes: DataFrame, by: list[str] | None = None, most_rounds: int = 1000) -> DataFrame:
+    """s, t, d: the shortest distance of each pair that is connected.
 
-    Rounds double the number of hops and stop when nothing changes; each is written, so
-    lineage stays one round long.  With `by`, graphs with different keys are closed side by side.
+    Only pairs whose distance has just changed go on, one edge a round, until none does: pairs times degree in all, and
+    as many rounds as the longest shortest path has hops.  Each round is written, so lineage stays one round long.  With `by`, graphs with
+    different keys are closed side by side.
     """
     by = by or []
+    key = [*by, "s", "t"]
     zero = nodes.select(*by, F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).cast("long").alias("d"))
     step = adjacent.select(*by, F.col("u").alias("s"), F.col("v").alias("t"), F.col("w").cast("long").alias("d"))
-    now = stage(zero.unionByName(step).groupBy(*by, "s", "t").agg(F.min("d").alias("d")))
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum("d")).first())
-    before = mark(now)
+    fresh = F.count(F.when(F.col("fresh"), 1))
+    now, seen = counted_stage(zero.unionByName(step).groupBy(*key).agg(F.min("d").alias("d")).withColumn("fresh", F.col("s") != F.col("t")), n=fresh)
+    links = adjacent.select(*by, F.col("u").alias("m"), F.col("v").alias("t"), F.col("w").cast("long").alias("w"))
     for _ in range(most_rounds):
-        left = now.select(*by, "s", F.col("t").alias("m"), F.col("d").alias("d1"))
-        right = now.select(*by, F.col("s").alias("m"), "t", F.col("d").alias("d2"))
-        now = stage(left.join(right, [*by, "m"]).groupBy(*by, "s", "t").agg(F.min(F.col("d1") + F.col("d2")).alias("d")))
-        after = mark(now)
-        if after == before:
-            return now
-        before = after
+        if not seen["n"]:
+            return now.drop("fresh")
+        longer = now.where("fresh").select(*by, "s", F.col("t").alias("m"), "d").join(links, [*by, "m"]).select(*key, (F.col("d") + F.col("w")).alias("d"), F.lit(None).cast("long").alias("old"))
+        best = longer.unionByName(now.select(*key, "d", F.col("d").alias("old"))).groupBy(*key).agg(F.min("d").alias("d"), F.min("old").alias("old"))
+        now, seen = counted_stage(best.select(*key, "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("fresh")), n=fresh)
     raise RuntimeError("distances did not settle")
 
 
@@ -91,28 +91,51 @@ def remove_loops(path):
     return F.aggregate(path, F.slice(path, 1, 0), lambda acc, x: F.when(F.array_contains(acc, x), F.slice(acc, 1, F.array_position(acc, x).cast("int"))).otherwise(F.concat(acc, F.array(x))))
 
 
-def criticality(edges: DataFrame, nodes: DataFrame, volumes: DataFrame) -> DataFrame:
-    """For each edge, how much the traffic-weighted mean distance grows without it (pairs still connected).
+def criticality(edges: DataFrame, nodes: DataFrame, volumes: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """For each edge, how much the traffic-weighted mean distance grows without it (over pairs still connected).
 
-    All graphs that lack one edge are closed at once, with the edge as one more key.
+    Without an edge, only pairs change whose canonical path has it: as many rows as all paths have hops.  Such a pair starts
+    from the nodes whose distance stands and is mended along edges between changed ones, in rounds, until none changes.
+    volumes: source, target, throughput.
     """
-    adjacent = adjacency(edges, "rtt_us")
-    gone = edges.select(F.col("a").alias("ra"), F.col("b").alias("rb"))
-    # One graph for each edge, so rows are the square of the edges by design.
-    left = gone.join(adjacent, ~((F.least("u", "v") == F.col("ra")) & (F.greatest("u", "v") == F.col("rb"))))
-    kept = closure(left, gone.join(nodes.select("id")), ["ra", "rb"])
-    mean = lambda d, by: d.join(volumes, (d["s"] == volumes["source"]) & (d["t"] == volumes["target"])).groupBy(*by).agg((F.sum((F.col("throughput") * F.col("d")).cast("double")) / F.sum("throughput")).alias("mean"))
-    whole = mean(closure(adjacent, nodes), []).select(F.col("mean").alias("whole"))
-    return mean(kept, ["ra", "rb"]).crossJoin(F.broadcast(whole)).select(F.col("ra").alias("a"), F.col("rb").alias("b"), (F.col("mean") - F.col("whole")).alias("growth"))
-
-
-def traffic_curvature(pairs: DataFrame, adjacent: DataFrame, distances: DataFrame, paths: DataFrame) -> DataFrame:
-    """u, v, curvature of each ordered pair from the routes that pass it; pairs without any are left out.
-
-    A route counts once for a pair, by the first that it has of: a neighbour of u before a neighbour of v (s), a
-    neighbour of u before v, u before a neighbour of v, u before v.  Its cost is the least distance
-    between two such places, plus 0, 1, 1 or 2 times the pair's distance.  paths: route_id, route, volume.
-    As prefix distances grow, the last left place up to a right place is the nearest; one window pass finds all.
+    adjacent = stage(adjacency(edges, "rtt_us"))
+    distances = closure(adjacent, nodes)
+    walks = routes(predecessors(distances, adjacent), nodes)
+    lost = stage(hops(walks, ["s", "t"]).select(F.least("u", "v").alias("ra"), F.greatest("u", "v").alias("rb"), "s", "t"))
+    key = ["ra", "rb", "s", "t"]
+    links = adjacent.select(F.col("u").alias("m"), F.col("v").alias("t"), "w")
+    other = ~((F.least("m", "t") == F.col("ra")) & (F.greatest("m", "t") == F.col("rb")))
+    marked = lost.select("ra", "rb", "s", F.col("t").alias("m"))
+    stands = lost.join(links, "t").where(other).join(marked, ["ra", "rb", "s", "m"], "left_anti")
+    first = stands.join(distances.select("s", F.col("t").alias("m"), "d"), ["s", "m"]).groupBy(*key).agg(F.min(F.col("d") + F.col("w")).alias("d"))
+    fresh = F.count(F.when(F.col("fresh"), 1))
+    now, seen = counted_stage(first.withColumn("fresh", F.lit(True)), n=fresh)
+    for _ in range(most_rounds):
+        if not seen["n"]:
+            break
+        moved = now.where("fresh").select("ra", "rb", "s", F.col("t").alias("m"), "d").join(links, "m").where(other).join(lost, key, "left_semi")
+        best = moved.select(*key, (F.col("d") + F.col("w")).alias("d"), F.lit(None).cast("long").alias("old")).unionByName(now.select(*key, "d", F.col("d").alias("old"))).groupBy(*key).agg(F.min("d").alias("d"), F.min("old").alias("old"))
+        now, seen = counted_stage(best.select(*key, "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("fresh")), n=fresh)
+    else:
+        raise RuntimeError("distances did not settle")
+    demand = volumes.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("throughput").alias("q"))
+    whole = distances.join(demand, ["s", "t"]).agg(F.coalesce(F.sum(F.col("q") * F.col("d")), F.lit(0)).alias("cost"), F.coalesce(F.sum("q"), F.lit(0)).alias("load"))
+    was = lost.join(distances, ["s", "t"]).join(demand, ["s", "t"]).join(now.select(*key, F.col("d").alias("after")), key, "left")
+    change = was.groupBy("ra", "rb").agg(
+        F.sum(F.col("q") * (F.coalesce("after", F.lit(0)) - F.col("d"))).alias("more"),
+        F.sum(F.when(F.col("after").isNull(), F.col("q")).otherwise(0)).alias("cut"),
+    )
+    all_edges = edges.select(F.col("a").alias("ra"), F.col("b").alias("rb")).join(change, ["ra", "rb"], "left").crossJoin(F.broadcast(whole))
+    mean = (F.col("cost") + F.coalesce("more", F.lit(0))).cast("double") / (F.col("load") - F.coalesce("cut", F.lit(0)))
+    return all_edges.where(F.col("load") > F.coalesce("cut", F.lit(0))).select(F.col("ra").alias("a"), F.col("rb").alias("b"), (mean - F.col("cost").cast("double") / F.col("load")).alias("growth"))
+
+
+def nearest_places(pairs: DataFrame, adjacent: DataFrame, paths: DataFrame) -> DataFrame:
+    """u, v, route_id, volume, ps, pv, us, uv: for each ordered pair and route, the nearest two places in that order, as (gap, pos, left, right).
+
+    p is a neighbour of u and not v, s one of v and not u; a place may be both ends, with a gap of 0.  Of several with the least gap the first on
+    the route counts.  As prefix distances grow, the last left place up to a right place is the nearest; one window pass finds all.
+    paths: route_id, route, volume; routes without volume are skipped.
     """
     near = adjacent.select(F.col("u").alias("x"), F.col("v").alias("y"))
     mark = lambda df, node, kind: df.select("u", "v", F.col(node).alias("node"), *[F.lit(n == kind).alias(f"is_{n}") for n in "pusv"])
@@ -130,10 +153,21 @@ def traffic_curvature(pairs: DataFrame, adjacent: DataFrame, distances: DataFram
     places = places.withColumn("prefix", F.sum(F.coalesce("w", F.lit(0))).over(along))
     met = places.join(roles, "node")
     so_far = Window.partitionBy("u", "v", "route_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    left = {n: F.max(F.when(F.col(f"is_{n}"), F.col("prefix"))).over(so_far) for n in "pu"}
-    gaps = met.withColumns({f"gap_{a}{b}": F.when(F.col(f"is_{b}"), F.col("prefix") - left[a]) for a in "pu" for b in "sv"})
-    least = gaps.groupBy("u", "v", "route_id").agg(F.max("volume").alias("volume"), *[F.min(f"gap_{k}").alias(k) for k in ("ps", "pv", "us", "uv")])
+    last = lambda n: F.max(F.when(F.col(f"is_{n}"), F.struct("prefix", "node"))).over(so_far)
+    gap = lambda a, b: F.when(F.col(f"is_{b}") & F.col(f"last_{a}").isNotNull(), F.struct((F.col("prefix") - F.col(f"last_{a}.prefix")).alias("gap"), "pos", F.col(f"last_{a}.node").alias("left"), F.col("node").alias("right")))
+    gaps = met.withColumns({f"last_{n}": last(n) for n in "pu"}).withColumns({f"gap_{a}{b}": gap(a, b) for a in "pu" for b in "sv"})
+    return gaps.groupBy("u", "v", "route_id").agg(F.max("volume").alias("volume"), *[F.min(f"gap_{k}").alias(k) for k in ("ps", "pv", "us", "uv")])
+
+
+def traffic_curvature(pairs: DataFrame, adjacent: DataFrame, distances: DataFrame, paths: DataFrame) -> DataFrame:
+    """u, v, curvature of each ordered pair from the routes that pass it; pairs without any are left out.
+
+    A route counts once for a pair, by the first that it has of: a neighbour of u before a neighbour of v (s), a
+    neighbour of u before v, u before a neighbour of v, u before v.  Its cost is the least distance
+    between two such places, plus 0, 1, 1 or 2 times the pair's distance.  paths: route_id, route, volume.
+    """
+    least = nearest_places(pairs, adjacent, paths)
     d = distances.select(F.col("s").alias("u"), F.col("t").alias("v"), "d")
-    cost = F.coalesce(F.col("ps"), F.col("pv") + F.col("d"), F.col("us") + F.col("d"), F.col("uv") + 2 * F.col("d"))
+    cost = F.coalesce(F.col("ps.gap"), F.col("pv.gap") + F.col("d"), F.col("us.gap") + F.col("d"), F.col("uv.gap") + 2 * F.col("d"))
     costed = least.join(d, ["u", "v"]).withColumn("cost", cost).where("cost is not null")
     return costed.groupBy("u", "v", "d").agg((F.sum((F.col("volume") * F.col("cost")).cast("double")) / F.sum("volume")).alias("mean")).select("u", "v", (1 - F.col("mean") / F.col("d")).alias("curvature"))

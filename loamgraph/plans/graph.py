@@ -9,6 +9,7 @@ from ..operators import clusters as C
 from ..operators import edges as E
 from ..operators import paths as P
 from ..operators import traffic as X
+from ..operators import transport as W
 from . import network as net
 from .basic import r6
 from .network import ANGLE, NET
@@ -267,6 +268,13 @@ def flow_curvature(t: Tables) -> DataFrame:
     return P.traffic_curvature(adjacent.select("u", "v"), adjacent, distances, paths).select("u", "v", r6(F.col("curvature")).alias("curvature"))
 
 
+@query()
+def transport_curvature(t: Tables) -> DataFrame:
+    """Curvature of the traffic by the least cost of moving it, whatever its routes."""
+    _, adjacent, distances, paths = loaded_routes(t)
+    return W.transport_curvature(adjacent.select("u", "v"), adjacent, distances, paths).select("u", "v", r6(F.col("curvature")).alias("curvature"))
+
+
 @query(NET + "SELECT a, b, round(avg(curvature), 6) AS curvature FROM (SELECT least(source, target) AS a, greatest(source, target) AS b, CAST((source*7 + target*3) % 11 AS DOUBLE)/10 AS curvature FROM dedges) GROUP BY 1, 2")
 def merged_curvature(t: Tables) -> DataFrame:
     rows = net.directed(t).withColumn("curvature", ((F.col("source") * 7 + F.col("target") * 3) % 11).cast("double") / 10)

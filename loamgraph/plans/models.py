@@ -12,6 +12,7 @@ from ..operators import mesh as M
 from ..operators import numeric as N
 from ..operators import paths as P
 from ..operators import traffic as X
+from ..operators import transport as W
 from ..operators import triangles as T
 from ..sources import network as files
 from ..streaming import series as stream
@@ -35,20 +36,20 @@ def _folder(t: Tables, name: str) -> str:
 
 @query()
 def ollivier_ricci(t: Tables) -> DataFrame:
-    return N.ricci(net.near(t).withColumn("graph", F.lit(0)), "graph").select("a", "b", r6(F.col("curvature")).alias("curvature"))
+    return W.ricci(net.near(t)).select("a", "b", r6(F.col("curvature")).alias("curvature"))
 
 
 @query()
 def ricci_sweep(t: Tables) -> DataFrame:
-    """Curvature at each threshold; every graph is its own group."""
+    """Curvature at each threshold; the graphs are taken side by side."""
     steps = t.spark.createDataFrame([(x,) for x in (5000, 10000, 20000)], "epsilon int")
     kept = net.undirected(t).join(F.broadcast(steps), F.col("rtt_us") - F.col("gcl_us") <= F.col("epsilon"))
-    return N.ricci(kept, "epsilon").select("epsilon", "a", "b", r6(F.col("curvature")).alias("curvature"))
+    return W.ricci(kept, ["epsilon"]).select("epsilon", "a", "b", r6(F.col("curvature")).alias("curvature"))
 
 
 @query()
 def weighted_ricci(t: Tables) -> DataFrame:
-    return N.ricci(net.near(t).withColumn("graph", F.lit(0)), "graph", alpha=0.5, weighted=True).select("a", "b", r6(F.col("curvature")).alias("curvature"))
+    return W.ricci(net.near(t), alpha=0.5, weighted=True).select("a", "b", r6(F.col("curvature")).alias("curvature"))
 
 
 @query()
@@ -135,7 +136,7 @@ def manifold_fit(t: Tables) -> DataFrame:
     v = M.grid(t.spark, side, side).withColumnRenamed("vid", "pid")
     s = segments(t)
     dx, dy = F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy")
-    curved = N.ricci(net.near(t).withColumn("graph", F.lit(0)), "graph").select((F.col("a") * 100 + F.col("b")).alias("sid"), F.col("curvature").alias("target"))
+    curved = W.ricci(net.near(t)).select((F.col("a") * 100 + F.col("b")).alias("sid"), F.col("curvature").alias("target"))
     fat = M.points_near_segments(v, s.drop("rtt_us"), EPS).groupBy("sid").agg(F.array_sort(F.collect_list("pid")).alias("vids"))
     near = s.select("sid", F.sqrt(dx * dx + dy * dy).alias("length")).join(curved, "sid").join(fat, "sid")
     settings = t.spark.createDataFrame([(0, 0.0002), (1, 0.002), (2, 0.02)], "run long, smooth double")

@@ -11,6 +11,7 @@ from ..operators import numeric as N
 from ..operators import paths as P
 from ..operators import stats
 from ..operators import traffic as X
+from ..operators import transport as W
 from . import network as net
 from .basic import r6
 from .graph import DIST, ROUTES, TOT, loaded_routes
@@ -35,7 +36,7 @@ def augmented_distance(t: Tables) -> DataFrame:
 
 @query()
 def augmented_ricci(t: Tables) -> DataFrame:
-    return N.augmented_ricci(net.near(t).withColumn("graph", F.lit(0)), "graph").select("a", "b", r6(F.col("curvature")).alias("curvature"))
+    return W.ricci(net.near(t), augmented=True).select("a", "b", r6(F.col("curvature")).alias("curvature"))
 
 
 @query(NET + ", adj AS (SELECT a AS u, b AS v, throughput AS w FROM near UNION ALL SELECT b, a, throughput FROM near) SELECT u AS x, v AS y, round(CAST(0.75 AS DOUBLE)*w/(sum(w) OVER (PARTITION BY u)), 6) AS mass FROM adj UNION ALL SELECT id, id, CASE WHEN id IN (SELECT u FROM adj) THEN CAST(0.25 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END FROM nodes")

