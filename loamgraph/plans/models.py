@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import collate
 from ..operators import mesh as M
 from ..operators import numeric as N
 from ..operators import paths as P
@@ -144,12 +143,6 @@ def manifold_fit(t: Tables) -> DataFrame:
     return N.fits(settings, rows.select("run", "sid", "vids", "target", "length"), side, 15).select("run", r6(F.col("loss_before")).alias("loss_before"), r6(F.col("loss_after")).alias("loss_after"), F.size("heights").alias("vertices"))
 
 
-@query()
-def animation_doc(t: Tables) -> DataFrame:
-    nodes = support(t).join(net.nodes(t).select("id", F.col("city").alias("label")), "id")
-    return collate.animation(nodes, yearly(t).select("y", "a", "b", "weight"), "y")
-
-
 @query(NET + "SELECT CAST(source AS VARCHAR) AS source_id, CAST(target AS VARCHAR) AS target_id, CAST(rtt_us AS DOUBLE) AS rtt, CAST(CASE WHEN e.n = 0 THEN NULL ELSE throughput END AS DOUBLE) AS throughput FROM dedges, (SELECT 1 AS n) e")
 def network_json_roundtrip(t: Tables) -> DataFrame:
     """A network written as one JSON document and read back; link throughput comes from its routes."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo import lit
+from ..operators import collate as C
 from ..operators import config as K
 from ..operators import mesh as M
 from . import network as net
@@ -115,11 +116,10 @@ def point_in_triangle(t: Tables) -> DataFrame:
 
 @query(NET + SEG + ", " + MESH + f", dmin AS (SELECT vid, z, min({DISTANCE}) AS d FROM vert v, seg GROUP BY 1, 2) SELECT vid, round((z + CAST(0.05 AS DOUBLE))*exp(-1000*d*d) - CAST(0.05 AS DOUBLE), 6) + 0 AS height FROM dmin")
 def height_decay(t: Tables) -> DataFrame:
-    """Heights that fall off with the distance to the nearest edge; the network's edges are few beside the mesh."""
+    """Heights that fall off with the distance to the nearest edge, which only near edges can be."""
     v = parts(t)[0]
-    d = geo.segment_distance(*[F.col(c) for c in ("ux", "uy", "vx", "vy", "x", "y")])
-    near = v.crossJoin(segments(t)).groupBy("vid", "z").agg(F.min(d).alias("d"))
-    return near.select("vid", (r6(geo.border_decay(F.col("z"), F.col("d"))) + 0).alias("height"))
+    near = C.network_distances(v, segments(t).select(F.lit(0).alias("snapshot"), "ux", "uy", "vx", "vy"), C.DECAY_REACH)
+    return v.join(near, "vid", "left").select("vid", (r6(C.decayed(F.col("z"), F.col("distance"), 0.0)) + 0).alias("height"))
 
 
 @query(NET + SUPPORT + ", " + MESH + f", c AS (SELECT id, floor(x*{n1}) AS i, floor(y*{n1}) AS j, x*{n1} - floor(x*{n1}) AS p, y*{n1} - floor(y*{n1}) AS q FROM support) SELECT id, round((1-p)*((1-q)*a.z + q*b.z) + p*((1-q)*e.z + q*g.z), 6) AS height FROM c JOIN vert a ON a.i = c.i AND a.j = c.j JOIN vert b ON b.i = c.i AND b.j = c.j + 1 JOIN vert e ON e.i = c.i + 1 AND e.j = c.j JOIN vert g ON g.i = c.i + 1 AND g.j = c.j + 1")
