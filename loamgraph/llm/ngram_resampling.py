@@ -26,8 +26,8 @@ BLOCK = "block long, words array<binary>, grams array<array<int>>, totals array<
 
 
 def _coded(docs: DataFrame, longest: int) -> DataFrame:
-    """One row for each block of texts: its distinct words, its n-grams as tuples of their numbers with their totals, and for its documents (doc_ids, n_words) the
-    number of different n-grams (kinds), which ones, and how many times."""
+    """One row for each block of texts: its distinct words, its longer n-grams as tuples of their numbers, totals of both, and for its documents (doc_ids, n_words) the
+    number of different n-grams (kinds), which ones (words first, then tuples), and how many times."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -35,7 +35,7 @@ def _coded(docs: DataFrame, longest: int) -> DataFrame:
             words = Words(utf8(batch.column("text")), LETTERS, lower=True)
             ids, dictionary = words.numbered()
             owner = words.owners()
-            here, found, tuples, known = ids, [(owner, ids)], [np.arange(len(dictionary))[:, None]], len(dictionary)
+            here, found, tuples, known = ids, [(owner, ids)], [], len(dictionary)
             for n in range(2, longest + 1):
                 # Runs of n words: a run of n - 1 and the next word.
                 size = max(0, len(ids) - n + 1)
@@ -49,8 +49,8 @@ def _coded(docs: DataFrame, longest: int) -> DataFrame:
                 here[inside] = back
             gram = np.concatenate([g for _, g in found])
             key, times = np.unique(np.concatenate([o for o, _ in found]) * max(1, known) + gram, return_counts=True)
-            flat = np.concatenate([t.ravel() for t in tuples]).astype(np.int32)
-            widths = np.concatenate([np.full(len(t), t.shape[1]) for t in tuples])
+            flat = np.concatenate([np.empty(0, np.int64), *(t.ravel() for t in tuples)]).astype(np.int32)
+            widths = np.concatenate([np.empty(0, np.int64), *(np.full(len(t), t.shape[1]) for t in tuples)])
             grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(widths)]), pa.int32()), pa.array(flat))
             kinds = np.bincount(key // max(1, known), minlength=batch.num_rows)
             columns = (
@@ -75,12 +75,17 @@ def _word_ids(coded: DataFrame) -> DataFrame:
     return staged(coded.select(F.explode("words").alias("word")).distinct().select(F.monotonically_increasing_id().alias("id"), "word"), "word-ids")
 
 
-def _tuples(coded: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(block, at, ids, total): the blocks' n-grams as tuples of the dictionary's ids."""
-    placed = coded.select("block", F.posexplode("words").alias("at", "word")).join(dictionary, "word")
-    own = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("own")).select("block", F.col("own.id").alias("own"))
+def _tuples(coded: DataFrame, dictionary: DataFrame, longest: int) -> DataFrame:
+    """(block, at, ids, total): the blocks' n-grams as tuples of the dictionary's ids; a word's tuple has its own id, and only longer ones need those of the block together."""
+    words = coded.select("block", F.posexplode(F.arrays_zip("words", F.slice("totals", 1, F.size("words")).alias("total"))).alias("at", "w")).select("block", "at", "w.words", "w.total")
+    single = words.join(dictionary, F.col("words") == F.col("word")).select("block", "at", F.array("id").alias("ids"), "total")
+    if longest == 1:
+        return single
+    own = single.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", F.col("ids")[0].alias("id")))).alias("own")).select("block", F.col("own.id").alias("own"))
+    longer = coded.select("block", "grams", F.slice("totals", F.size("words") + 1, F.size("grams")).alias("total"), F.size("words").alias("first"))
     ids = F.transform("grams", lambda g: F.transform(g, lambda i: F.element_at("own", i + 1)))
-    return coded.select("block", "grams", "totals").join(own, "block").select("block", F.posexplode(F.arrays_zip(ids.alias("ids"), F.col("totals").alias("total"))).alias("at", "t")).select("block", "at", "t.ids", "t.total")
+    rows = longer.join(own, "block").select("block", "first", F.posexplode(F.arrays_zip(ids.alias("ids"), "total")).alias("at", "t"))
+    return single.unionByName(rows.select("block", (F.col("first") + F.col("at")).alias("at"), "t.ids", "t.total"))
 
 
 def _hashed(tuples: DataFrame, dictionary: DataFrame, longest: int, buckets: int) -> DataFrame:
@@ -156,9 +161,9 @@ def importance_resample(docs: DataFrame, target: DataFrame, longest: int = LONGE
     wanted = staged(_coded(target.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(target[target_text].cast("string"), F.lit("")).alias("text")), longest), "coded-target")
     columns = ["words", "grams", "totals"]
     dictionary = _word_ids(coded.select("words").unionByName(wanted.select("words")))
-    tuples = staged(_tuples(coded.select("block", *columns), dictionary), "tuples")
+    tuples = staged(_tuples(coded.select("block", *columns), dictionary, longest), "tuples")
     raw = staged(_hashed(tuples, dictionary, longest, buckets), "hashed")
-    aimed = _hashed(_tuples(wanted.select("block", *columns), dictionary), dictionary, longest, buckets)
+    aimed = _hashed(_tuples(wanted.select("block", *columns), dictionary, longest), dictionary, longest, buckets)
     # One row a bucket.
     gains = staged(bucket_gains(raw, aimed, buckets), "gains")
     priced = raw.join(gains, "bucket").select("ids", "gain")
