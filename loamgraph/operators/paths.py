@@ -15,7 +15,7 @@ def adjacency(edges: DataFrame, weight: str) -> DataFrame:
 
 
 def closure(adjacent: DataFrame, nodes: DataFrame, by: list[str] | None = None, most_rounds: int = 1000) -> DataFrame:
-    """s, t, d: the shortest distance of each pair that is connected.
+    """s, t, d: the shortest distance of each pair that is connected, from the given nodes to all.
 
     Only pairs whose distance has just changed go on, one edge a round, until none does: pairs times degree in all, and
     as many rounds as the longest shortest path has hops.  Each round is written, so lineage stays one round long.  With `by`, graphs with
@@ -24,7 +24,7 @@ def closure(adjacent: DataFrame, nodes: DataFrame, by: list[str] | None = None,
     by = by or []
     key = [*by, "s", "t"]
     zero = nodes.select(*by, F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).cast("long").alias("d"))
-    step = adjacent.select(*by, F.col("u").alias("s"), F.col("v").alias("t"), F.col("w").cast("long").alias("d"))
+    step = adjacent.select(*by, F.col("u").alias("s"), F.col("v").alias("t"), F.col("w").cast("long").alias("d")).join(nodes.select(*by, F.col("id").alias("s")), [*by, "s"], "left_semi")
     fresh = F.count(F.when(F.col("fresh"), 1))
     now, seen = counted_stage(zero.unionByName(step).groupBy(*key).agg(F.min("d").alias("d")).withColumn("fresh", F.col("s") != F.col("t")), n=fresh)
     links = adjacent.select(*by, F.col("u").alias("m"), F.col("v").alias("t"), F.col("w").cast("long").alias("w"))
@@ -66,6 +66,24 @@ def routes(before: DataFrame, nodes: DataFrame, most_hops: int = 1000) -> DataFr
     return out
 
 
+def walked_back(pairs: DataFrame, before: DataFrame, most_hops: int = 100_000) -> DataFrame:
+    """s, t, route: the canonical paths of the given pairs only, walked back from their ends, one hop longer each round.  pairs: s, t, connected."""
+    front, seen = counted_stage(pairs.select("s", "t", F.array("t").alias("route")), n=F.count(F.when(F.col("s") != F.col("t"), 1)))
+    found = [front.where(F.col("route")[0] == F.col("s"))]
+    for _ in range(most_hops):
+        if not seen["n"]:
+            break
+        open_ends = front.where(F.col("route")[0] != F.col("s")).withColumn("v", F.col("route")[0])
+        front, seen = counted_stage(open_ends.join(before, ["s", "v"]).select("s", "t", F.concat(F.array("u"), "route").alias("route")), n=F.count(F.when(F.col("route")[0] != F.col("s"), 1)))
+        found.append(front.where(F.col("route")[0] == F.col("s")))
+    else:
+        raise RuntimeError(f"some routes have more than {most_hops} hops")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def hops(paths: DataFrame, keep: list[str], route: str = "route") -> DataFrame:
     """One row for each hop: the kept columns, pos, u, v."""
     pairs = F.arrays_zip(F.slice(F.col(route), 1, F.greatest(F.size(route) - 1, F.lit(0))).alias("u"), F.slice(F.col(route), 2, F.greatest(F.size(route) - 1, F.lit(0))).alias("v"))

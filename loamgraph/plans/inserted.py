@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import insertion as I
 from ..operators import mesh as M
+from ..operators import polylines as L
 from .basic import SUPPORT, r6, support
+from .graph import ROUTES, loaded_routes
 from .network import NET
 from .registry import Tables, query
+from .stage import stage
 from .surface import MESH, SEG, SIDE, parts, segments
 
 n1 = SIDE - 1
@@ -60,3 +63,38 @@ def inserted_topology(t: Tables) -> DataFrame:
     one = lambda df, c: df.agg(c)
     out = one(v, F.count(F.lit(1)).alias("vertices")).crossJoin(one(corners, F.struct(F.count(F.lit(1)).alias("n"), F.sum(area).alias("area")).alias("f"))).crossJoin(one(sides, F.count(F.lit(1)).alias("sides"))).crossJoin(one(made.removed(), F.count(F.lit(1)).alias("given")))
     return out.select("vertices", (F.col("vertices") - F.col("sides") + F.col("f.n")).alias("euler"), r6(F.col("f.area")).alias("flat_area"), "given")
+
+
+TOP = 100
+
+
+def drawn(t: Tables, flat: bool) -> tuple[DataFrame, DataFrame]:
+    """(routes, lines): the routes of most traffic and their lines over the mesh, or over the plane below it."""
+    nodes = support(t).select(F.col("id").cast("long").alias("pid"), "x", "y")
+    made = inserted(t, nodes)
+    vertices = made.vertices.withColumn("z", F.lit(0.0)) if flat else made.vertices
+    name = F.array_join(F.transform("route", lambda x: F.lpad(x.cast("string"), 6, "0")), "-")
+    best = loaded_routes(t)[3].where("s <> t").orderBy(F.desc("volume"), F.desc(name)).limit(TOP)
+    best = stage(best.select("route_id", "s", "t", "route"))
+    stops = best.select("route_id", F.posexplode("route").alias("pos", "pid")).join(made.placed, "pid")
+    ways = stops.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("pos", "vid"))).alias("stops")).select("route_id", F.col("stops.vid").alias("stops"))
+    return best, L.polylines(stage(ways), stage(made.faces.select("u", "v", "w")), vertices.select("vid", "x", "y", "z"))
+
+
+@query(
+    NET
+    + ROUTES
+    + SUPPORT
+    + f""", best AS (SELECT route_id, s, t FROM vol WHERE s <> t ORDER BY volume DESC, array_to_string(list_transform(route, lambda x: lpad(CAST(x AS VARCHAR), 6, '0')), '-') DESC LIMIT {TOP})
+SELECT route_id, round(sqrt((a.x - b.x)*(a.x - b.x) + (a.y - b.y)*(a.y - b.y)), 6) AS length, true AS shortened FROM best JOIN support a ON a.id = s JOIN support b ON b.id = t"""
+)
+def flat_polylines(t: Tables) -> DataFrame:
+    """On a flat mesh the taut line is the straight one, and no longer than the trace."""
+    return drawn(t, True)[1].select("route_id", r6(F.col("length")).alias("length"), (F.col("length") <= F.col("trace") + 1e-9).alias("shortened"))
+
+
+@query()
+def route_polylines(t: Tables) -> DataFrame:
+    """The routes of most traffic as lines on the surface, one row a point."""
+    lines = drawn(t, False)[1]
+    return lines.select("route_id", r6(F.col("trace")).alias("trace"), r6(F.col("length")).alias("length"), F.posexplode("points").alias("pos", "p")).select("route_id", "trace", "length", "pos", *[r6(F.col(f"p.{k}")).alias(k) for k in "xyz"])
