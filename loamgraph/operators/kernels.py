@@ -364,70 +364,6 @@ def grid_faces(side: int) -> np.ndarray:
     return np.concatenate([np.stack([v, v + side + 1, v + 1], 1), np.stack([v, v + side, v + side + 1], 1)])
 
 
-def gaussian_curvature(points: np.ndarray, faces: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    angles, area = np.zeros(len(points)), np.zeros(len(points))
-    for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
-        p, q, r = (points[faces[:, x]] for x in (i, j, k))
-        cross = np.linalg.norm(np.cross(q - p, r - p), axis=1)
-        np.add.at(angles, faces[:, i], np.arctan2(cross, ((q - p) * (r - p)).sum(1)))
-        np.add.at(area, faces[:, i], cross / 6)
-    return np.where(inner, (2 * np.pi - angles) / area, 0.0)
-
-
-def curvature_fit(side: int, fat: list[np.ndarray], targets: np.ndarray, lengths: np.ndarray, smooth: float, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, list[float]]:
-    """Heights on a unit grid whose Gaussian curvature near each segment is its target, and the losses before and after.
-
-    The loss is the segments' weighted mean squared miss plus `smooth` times the heights' roughness.  The slope by
-    each height is a difference quotient; heights three or more apart in both directions share no curvature, so 25
-    classes of them are moved together.
-    """
-    faces = grid_faces(side)
-    i, j = np.divmod(np.arange(side * side), side)
-    inner = (i > 0) & (j > 0) & (i < side - 1) & (j < side - 1)
-    xy = np.stack([i, j], 1) / (side - 1)
-    weight = lengths / lengths.sum()
-    load = np.zeros(side * side)
-    pull = np.zeros(side * side)
-    for near, t, w in zip(fat, targets, weight):
-        if len(near) and not np.isnan(t):
-            load[near] += w / len(near)
-            pull[near] += w * t / len(near)
-    rest = sum(w * t * t for near, t, w in zip(fat, targets, weight) if len(near) and not np.isnan(t))
-
-    def curvature(z: np.ndarray) -> np.ndarray:
-        return gaussian_curvature(np.column_stack([xy, z]), faces, inner)
-
-    def rough(z: np.ndarray) -> tuple[float, np.ndarray]:
-        g = z.reshape(side, side)
-        bend = np.zeros_like(g)
-        bend[1:-1, 1:-1] = 4 * g[1:-1, 1:-1] - g[:-2, 1:-1] - g[2:, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:]
-        slope = 4 * bend
-        slope[:-2] -= bend[1:-1]
-        slope[2:] -= bend[1:-1]
-        slope[:, :-2] -= bend[:, 1:-1]
-        slope[:, 2:] -= bend[:, 1:-1]
-        return float((bend**2).sum()), 2 * slope.ravel()
-
-    def loss(z: np.ndarray) -> tuple[float, np.ndarray]:
-        k = curvature(z)
-        per = 2 * (load * k - pull)
-        h = 1e-6
-        slope = np.zeros(side * side)
-        for a in range(5):
-            for b in range(5):
-                mine = (i % 5 == a) & (j % 5 == b)
-                change = (curvature(z + h * mine) - k) / h * per
-                ri, rj = i - ((i - a + 2) % 5 - 2), j - ((j - b + 2) % 5 - 2)
-                ok = (ri >= 0) & (rj >= 0) & (ri < side) & (rj < side)
-                np.add.at(slope, ri[ok] * side + rj[ok], change[ok])
-        r, rs = rough(z)
-        return float(load @ k**2 - 2 * pull @ k + rest + smooth * r), slope + smooth * rs
-
-    first = loss(start)[0]
-    z = minimise(loss, start, rounds=rounds)
-    return z, [first, loss(z)[0]]
-
-
 def infer_routes(n: int, edges: list[tuple[int, int]], bounds: np.ndarray, rtts: dict[tuple[int, int], float], rounds: int = 10) -> tuple[dict[tuple[int, int], list[int]], np.ndarray, float]:
     """Routes and edge latencies that explain round trips.
 

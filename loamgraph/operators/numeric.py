@@ -128,22 +128,6 @@ def heat(meshes: DataFrame, by: str, side: int, source: int) -> DataFrame:
     return meshes.select(by, "vid", "x", "y", "z").groupBy(by).applyInPandas(run, f"{by} {kind[by]}, vid long, distance double")
 
 
-def fits(settings: DataFrame, near: DataFrame, side: int, rounds: int = 30) -> DataFrame:
-    """run, loss_before, loss_after, heights: a surface for each parameter setting, fitted to its segments' curvatures.
-
-    settings: run, smooth; near: run, sid, vids (array), target, length.
-    """
-    i, j = np.divmod(np.arange(side * side), side)
-    start = np.sqrt(2 - (i / (side - 1) - 0.5) ** 2 - (j / (side - 1) - 0.5) ** 2)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sid")
-        z, losses = N.curvature_fit(side, [np.asarray(v, dtype=int) for v in pdf["vids"]], pdf["target"].to_numpy(dtype=float), pdf["length"].to_numpy(), float(pdf["smooth"].iloc[0]), start - start.min(), rounds)
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "loss_before": [losses[0]], "loss_after": [losses[1]], "heights": [z.tolist()]})
-
-    return near.join(settings, "run").groupBy("run").applyInPandas(run, "run long, loss_before double, loss_after double, heights array<double>")
-
-
 def inferred_routes(edges: DataFrame, rtts: DataFrame, by: str, rounds: int = 6) -> DataFrame:
     """by, s, t, route, fitted, r2.  edges: by, a, b, gcl_us; rtts: by, s, t, rtt_us."""
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import gradients as G
 from ..operators import mesh as M
 from ..operators import numeric as N
 from ..operators import paths as P
@@ -21,7 +22,7 @@ from .graph import loaded_routes
 from .network import NET
 from .registry import Tables, query
 from .stage import stage
-from .surface import EPS, SIDE, parts, segments
+from .surface import EPS, SIDE, loads, loads_sql, parts, segments
 from .timeline import settled, yearly
 
 
@@ -113,34 +114,74 @@ def heat_geodesic(t: Tables) -> DataFrame:
 
 @query(
     "WITH RECURSIVE "
-    + "vert AS (SELECT i*9 + j AS vid, i, j, i/CAST(8 AS DOUBLE) AS x, j/CAST(8 AS DOUBLE) AS y FROM (SELECT unnest(range(9)) AS i), (SELECT unnest(range(9)) AS j)),\n"
-    + "lk AS (SELECT a.vid AS u, b.vid AS v, CASE WHEN a.i <> b.i AND a.j <> b.j THEN 177 ELSE 125 END AS w FROM vert a JOIN vert b ON (abs(a.i-b.i) + abs(a.j-b.j) = 1) OR (a.i-b.i = a.j-b.j AND abs(a.i-b.i) = 1)),\n"
+    + f"vert AS (SELECT i*9 + j AS vid, i, j, CAST(0.01 AS DOUBLE)*coalesce(q, 0) AS z FROM (SELECT unnest(range(9)) AS i), (SELECT unnest(range(9)) AS j) LEFT JOIN {loads_sql(81)} q ON q.vid = i*9 + j),\n"
+    + "lk AS (SELECT a.vid AS u, b.vid AS v, CAST(round(1000*sqrt(CASE WHEN a.i <> b.i AND a.j <> b.j THEN CAST(0.03125 AS DOUBLE) ELSE CAST(0.015625 AS DOUBLE) END + (a.z-b.z)*(a.z-b.z))) AS BIGINT) AS w FROM vert a JOIN vert b ON (abs(a.i-b.i) + abs(a.j-b.j) = 1) OR (a.i-b.i = a.j-b.j AND abs(a.i-b.i) = 1)),\n"
     + "q0 AS MATERIALIZED (SELECT s, t, min(d) AS d FROM (SELECT u AS s, v AS t, w AS d FROM lk UNION ALL SELECT vid, vid, 0 FROM vert) GROUP BY 1, 2),\n"
-    + ",\n".join(f"q{i + 1} AS MATERIALIZED (SELECT x.s, y.t, min(x.d + y.d) AS d FROM q{i} x JOIN q{i} y ON x.t = y.s GROUP BY 1, 2)" for i in range(4))
-    + "\nSELECT s, t, CAST(d AS BIGINT) AS d FROM q4"
+    + ",\n".join(f"q{i + 1} AS MATERIALIZED (SELECT x.s, y.t, min(x.d + y.d) AS d FROM q{i} x JOIN q{i} y ON x.t = y.s GROUP BY 1, 2)" for i in range(5))
+    + "\nSELECT s, t, CAST(d AS BIGINT) AS d FROM q5"
 )
 def mesh_distances(t: Tables) -> DataFrame:
-    """Distances along a small mesh's edges, in thousandths."""
+    """Distances along a small mesh's edges, in thousandths; its heights are the line items' loads."""
     f = M.faces(t.spark, 9, 9)
     sides = f.select(F.explode(F.array(*[F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")) for a, b in (("u", "v"), ("v", "w"), ("u", "w"))])).alias("e")).select("e.*").distinct()
-    step = F.col("b") - F.col("a")
-    edges = stage(sides.withColumn("w", F.when(step == 10, 177).otherwise(125)))
+    z = M.grid(t.spark, 9, 9).join(loads(t, 81), "vid", "left").select("vid", (F.lit(0.01) * F.coalesce("q", F.lit(0.0))).alias("z"))
+    a, b = (z.select(F.col("vid").alias(n), F.col("z").alias(f"{n}z")) for n in "ab")
+    rise = (F.col("az") - F.col("bz")) * (F.col("az") - F.col("bz"))
+    w = F.round(1000 * F.sqrt(F.when(F.col("b") - F.col("a") == 10, F.lit(0.03125)).otherwise(F.lit(0.015625)) + rise)).cast("long")
+    edges = stage(sides.join(a, "a").join(b, "b").select("a", "b", w.alias("w")))
     return P.closure(stage(P.adjacency(edges, "w")), M.grid(t.spark, 9, 9).select(F.col("vid").alias("id")))
 
 
-@query()
-def manifold_fit(t: Tables) -> DataFrame:
-    """A surface for each smoothness setting, fitted to the network's curvature."""
-    side = 13
-    v = M.grid(t.spark, side, side).withColumnRenamed("vid", "pid")
+def fit_inputs(t: Tables, side: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Vertices of a dome, faces, the vertices near each of the network's edges, and the edges' curvatures and lengths."""
+    v = M.grid(t.spark, side, side)
     s = segments(t)
     dx, dy = F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy")
     curved = W.ricci(net.near(t)).select((F.col("a") * 100 + F.col("b")).alias("sid"), F.col("curvature").alias("target"))
-    fat = M.points_near_segments(v, s.drop("rtt_us"), EPS).groupBy("sid").agg(F.array_sort(F.collect_list("pid")).alias("vids"))
-    near = s.select("sid", F.sqrt(dx * dx + dy * dy).alias("length")).join(curved, "sid").join(fat, "sid")
-    settings = t.spark.createDataFrame([(0, 0.0002), (1, 0.002), (2, 0.02)], "run long, smooth double")
-    rows = near.crossJoin(settings.select("run"))
-    return N.fits(settings, rows.select("run", "sid", "vids", "target", "length"), side, 15).select("run", r6(F.col("loss_before")).alias("loss_before"), r6(F.col("loss_after")).alias("loss_after"), F.size("heights").alias("vertices"))
+    fat = stage(M.points_near_segments(v.withColumnRenamed("vid", "pid"), s.drop("rtt_us"), EPS).select(F.col("pid").alias("vid"), "sid"))
+    targets = stage(s.select("sid", F.sqrt(dx * dx + dy * dy).alias("length")).join(curved, "sid").select("sid", "target", "length"))
+    x, y = F.col("x") - 0.5, F.col("y") - 0.5
+    dome = stage(v.select("vid", "x", "y", F.sqrt(F.lit(2.0) - x * x - y * y).alias("z"), "border"))
+    return dome, stage(M.faces(t.spark, side, side)), fat, targets
+
+
+SETTINGS = [(0, 0.0), (1, 0.0002), (2, 0.002)]
+
+
+def fitted(t: Tables, side: int = 13, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    dome, faces, fat, targets = fit_inputs(t, side)
+    settings = t.spark.createDataFrame(SETTINGS, "run long, smooth double")
+    # A mesh for each run: as many rows as the fit is about.
+    return G.fit(faces, dome.crossJoin(settings.select("run")), fat, targets, settings, rounds)
+
+
+@query()
+def manifold_fit(t: Tables) -> DataFrame:
+    """A surface for each smoothness setting, fitted to the network's curvature by the losses' gradients, all settings at once."""
+    value, heights = fitted(t)
+    size = heights.groupBy("run").agg(F.count(F.lit(1)).alias("vertices"))
+    return value.join(size, "run").select("run", r6(F.col("loss_before")).alias("loss_before"), r6(F.col("loss_after")).alias("loss_after"), r6(F.col("curvature")).alias("curvature"), r6(F.col("smoothness")).alias("smoothness"), "vertices")
+
+
+@query()
+def loss_gradients(t: Tables) -> DataFrame:
+    """The slope of the surface's losses by each height, without smoothness and with it."""
+    v, f, _, _ = parts(t)
+    _, _, fat, targets = fit_inputs(t, SIDE)
+    settings = t.spark.createDataFrame(SETTINGS[:2], "run long, smooth double")
+    _, slope = G.losses(f, v.crossJoin(settings.select("run")), fat, targets, settings, ["run"])
+    return slope.select("run", "vid", F.round("slope", 4).alias("slope"))
+
+
+@query(
+    NET
+    + """, st AS (SELECT avg(CAST(gcl_us AS DOUBLE)) AS mx, avg(CAST(rtt_us AS DOUBLE)) AS my, var_pop(CAST(gcl_us AS DOUBLE)) AS vx, var_pop(CAST(rtt_us AS DOUBLE)) AS vy, covar_pop(CAST(gcl_us AS DOUBLE), CAST(rtt_us AS DOUBLE)) AS c, count(*) AS n FROM edges)
+SELECT a, b, round(1e9*2*c/(n*vx*vy)*(c*(gcl_us - mx)/vx - (rtt_us - my)), 4) + 0 AS slope FROM edges, st"""
+)
+def geodesic_loss_gradient(t: Tables) -> DataFrame:
+    """The slope of the unexplained share of round trips by each edge's distance, in 10^-9."""
+    rows = net.undirected(t).select("a", "b", F.col("gcl_us").cast("double").alias("x"), F.col("rtt_us").cast("double").alias("y"))
+    return G.geodesic_loss(rows, "y", "x", []).select("a", "b", (F.round(F.lit(1e9) * F.col("slope"), 4) + 0).alias("slope"))
 
 
 @query(NET + "SELECT CAST(source AS VARCHAR) AS source_id, CAST(target AS VARCHAR) AS target_id, CAST(rtt_us AS DOUBLE) AS rtt, CAST(CASE WHEN e.n = 0 THEN NULL ELSE throughput END AS DOUBLE) AS throughput FROM dedges, (SELECT 1 AS n) e")

@@ -13,7 +13,7 @@ from ..operators import stats
 from ..operators import traffic as X
 from ..operators import transport as W
 from . import network as net
-from .basic import r6
+from .basic import r6, support
 from .graph import DIST, ROUTES, TOT, loaded_routes
 from .graph import parts as graph_parts
 from .network import NET
@@ -108,12 +108,12 @@ def trimmed_mesh(t: Tables) -> DataFrame:
     return A.trimmed(f, fat.select(F.col("pid").alias("vid")).distinct())
 
 
-@query("SELECT k AS cluster, i AS member, round(cos(2*pi()*i/6)*CAST(0.05 AS DOUBLE) + CAST(0.2 AS DOUBLE)*k, 6) + 0 AS x, round(sin(2*pi()*i/6)*CAST(0.05 AS DOUBLE) + CAST(0.1 AS DOUBLE)*(k % 2), 6) + 0 AS y FROM (SELECT unnest(range(4)) AS k), (SELECT unnest(range(6)) AS i)")
+@query(NET + SEG + "SELECT id AS cluster, i AS member, round(cos(2*pi()*i/6)*CAST(0.02 AS DOUBLE) + x, 6) + 0 AS x, round(sin(2*pi()*i/6)*CAST(0.02 AS DOUBLE) + y, 6) + 0 AS y FROM support, (SELECT unnest(range(6)) AS i)")
 def synthetic_clusters(t: Tables) -> DataFrame:
-    """Rings of nodes around cluster centres."""
-    k, i = t.spark.range(4).withColumnRenamed("id", "cluster"), t.spark.range(6).withColumnRenamed("id", "member")
+    """Rings of made-up nodes around the network's places."""
     turn = 2 * F.pi() * F.col("member") / 6
-    return k.crossJoin(i).select("cluster", "member", (r6(F.cos(turn) * 0.05 + F.col("cluster") * 0.2) + 0).alias("x"), (r6(F.sin(turn) * 0.05 + (F.col("cluster") % 2) * 0.1) + 0).alias("y"))
+    rings = support(t).withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    return rings.select(F.col("id").alias("cluster"), "member", (r6(F.cos(turn) * 0.02 + F.col("x")) + 0).alias("x"), (r6(F.sin(turn) * 0.02 + F.col("y")) + 0).alias("y"))
 
 
 @query(NET + "SELECT file_name, rank FROM (SELECT concat('snap_', CAST(y AS VARCHAR)) AS file_name, CAST(row_number() OVER (ORDER BY y) AS INTEGER) AS rank FROM (SELECT DISTINCT year(ts) AS y FROM raw)) WHERE rank <= 3")

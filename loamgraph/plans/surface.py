@@ -19,12 +19,24 @@ SIDE = 21
 EPS = 0.06
 
 
+def loads(t: Tables, vertices: int) -> DataFrame:
+    """vid, q: the mean quantity of the line items that fall to each vertex."""
+    vid = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 31 + F.col("l_partkey")) % vertices
+    return t.lineitem.groupBy(vid.cast("long").alias("vid")).agg((F.sum(F.col("l_quantity").cast("long")).cast("double") / F.count(F.lit(1))).alias("q"))
+
+
+def loads_sql(vertices: int) -> str:
+    return f"(SELECT (l_orderkey*7 + l_linenumber*31 + l_partkey) % {vertices} AS vid, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE)/count(*) AS q FROM lineitem GROUP BY 1)"
+
+
 def surface():
-    return lit(0.3) * F.sin(lit(3) * F.col("x")) + lit(0.2) * F.cos(lit(4) * F.col("y"))
+    return lit(0.3) * F.sin(lit(3) * F.col("x")) + lit(0.2) * F.cos(lit(4) * F.col("y")) + lit(0.0001) * F.coalesce("q", lit(0))
 
 
 def parts(t: Tables):
-    v = M.grid(t.spark, SIDE, SIDE, surface())
+    """Vertices, faces, faces with corners, half-edges of a surface with the line items' loads on it."""
+    v = M.grid(t.spark, SIDE, SIDE).drop("z").join(loads(t, SIDE * SIDE), "vid", "left")
+    v = v.select("vid", "i", "j", "x", "y", surface().alias("z"), "border")
     f = M.faces(t.spark, SIDE, SIDE)
     placed = M.placed_faces(f, v)
     return v, f, placed, M.halfedges(placed)
@@ -37,7 +49,7 @@ def segments(t: Tables) -> DataFrame:
 
 
 n1 = SIDE - 1
-MESH = f"""vert AS (SELECT i*{SIDE} + j AS vid, i, j, i/CAST({n1} AS DOUBLE) AS x, j/CAST({n1} AS DOUBLE) AS y, CAST(0.3 AS DOUBLE)*sin(3*(i/CAST({n1} AS DOUBLE))) + CAST(0.2 AS DOUBLE)*cos(4*(j/CAST({n1} AS DOUBLE))) AS z, i = 0 OR j = 0 OR i = {n1} OR j = {n1} AS border FROM (SELECT unnest(range({SIDE})) AS i), (SELECT unnest(range({SIDE})) AS j)),
+MESH = f"""vert AS (SELECT i*{SIDE} + j AS vid, i, j, i/CAST({n1} AS DOUBLE) AS x, j/CAST({n1} AS DOUBLE) AS y, CAST(0.3 AS DOUBLE)*sin(3*(i/CAST({n1} AS DOUBLE))) + CAST(0.2 AS DOUBLE)*cos(4*(j/CAST({n1} AS DOUBLE))) + CAST(0.0001 AS DOUBLE)*coalesce(q, 0) AS z, i = 0 OR j = 0 OR i = {n1} OR j = {n1} AS border FROM (SELECT unnest(range({SIDE})) AS i), (SELECT unnest(range({SIDE})) AS j) LEFT JOIN {loads_sql(SIDE*SIDE)} q ON q.vid = i*{SIDE} + j),
 face AS (SELECT (i*{n1} + j)*2 AS fid, i*{SIDE} + j AS u, (i+1)*{SIDE} + j + 1 AS v, i*{SIDE} + j + 1 AS w FROM vert WHERE i < {n1} AND j < {n1} UNION ALL SELECT (i*{n1} + j)*2 + 1, i*{SIDE} + j, (i+1)*{SIDE} + j, (i+1)*{SIDE} + j + 1 FROM vert WHERE i < {n1} AND j < {n1}),
 nrm AS (SELECT f.*, (a.y-c.y)*(b.z-c.z) - (a.z-c.z)*(b.y-c.y) AS nx, (a.z-c.z)*(b.x-c.x) - (a.x-c.x)*(b.z-c.z) AS ny, (a.x-c.x)*(b.y-c.y) - (a.y-c.y)*(b.x-c.x) AS nz FROM face f JOIN vert a ON a.vid = u JOIN vert b ON b.vid = v JOIN vert c ON c.vid = w),
 tri AS (SELECT *, sqrt(nx*nx + ny*ny + nz*nz)/2 AS area FROM nrm),
