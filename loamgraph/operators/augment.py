@@ -40,9 +40,9 @@ def longest_prefix(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
 
     Each address looks for its own prefixes of the lengths in use by equi-join.
     """
-    sizes = prefixes.select(F.length("prefix").alias("size")).distinct()
-    # As many rows as prefixes have lengths.
-    tries = addresses.select("address").distinct().join(F.broadcast(sizes), F.length("address") >= F.col("size")).select("address", F.expr("left(address, size)").alias("prefix"))
+    # One row, as many lengths as prefixes have.
+    sizes = prefixes.agg(F.collect_set(F.length("prefix")).alias("sizes"))
+    tries = addresses.select("address").distinct().crossJoin(F.broadcast(sizes)).select("address", F.explode(F.filter("sizes", lambda n: n <= F.length("address"))).alias("size")).select("address", F.expr("left(address, size)").alias("prefix"))
     found = tries.join(prefixes, "prefix").groupBy("address").agg(F.max_by("owner", F.length("prefix")).alias("owner"))
     return addresses.join(found, "address", "left")
 

@@ -293,32 +293,6 @@ def outer_border(points: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple
     return walk
 
 
-def vertex_cover(pairs: list[tuple]) -> list:
-    """Greedy: again and again the end of most remaining pairs, the earliest seen of several."""
-    left, out = list(pairs), []
-    while left:
-        count: dict = {}
-        for a, b in left:
-            count[a] = count.get(a, 0) + 1
-            count[b] = count.get(b, 0) + 1
-        best = max(count, key=count.__getitem__)
-        out.append(best)
-        left = [p for p in left if best not in p]
-    return out
-
-
-def set_cover(sets: dict, universe: set) -> list:
-    """Greedy: again and again the set that adds most, the smallest name of several."""
-    left, out = set(universe), []
-    while left:
-        best = max(sorted(sets), key=lambda k: len(sets[k] & left))
-        if not sets[best] & left:
-            break
-        out.append(best)
-        left -= sets[best]
-    return out
-
-
 def _mesh_matrices(points: np.ndarray, faces: np.ndarray):
     """Cotangent Laplacian (negative semi-definite), vertex areas, and per-face gradients and divergences."""
     n = len(points)

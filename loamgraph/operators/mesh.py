@@ -143,10 +143,10 @@ def locate(points: DataFrame, found: DataFrame, vertices: DataFrame, height: int
     return cells.join(flat, "fid").where(inside).groupBy("pid").agg(F.min("fid").alias("fid"))
 
 
-def in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+def in_polygons(points: DataFrame, polygons: DataFrame, band: float = 0.05) -> DataFrame:
     """pid, inside: whether a point lies in some polygon, borders included, by the parity of crossings to its right.
 
-    polygons: gid, pos, x, y in order around.
+    polygons: gid, pos, x, y in order around.  Points meet only sides in their band of y; one that meets none is outside.
     """
     from pyspark.sql import Window
 
@@ -159,8 +159,11 @@ def in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     corner = F.col("uy") == F.col("y")
     right = F.when(corner & (F.col("ux") > F.col("x")), 1).otherwise(0) + F.when(crosses, F.when(cross_x > F.col("x"), 1).otherwise(0)).otherwise(0)
     border = (corner & (F.col("ux") == F.col("x"))) | F.coalesce(F.when(crosses, cross_x == F.col("x")), F.lit(False))
-    per = points.crossJoin(F.broadcast(sides)).groupBy("pid", "gid").agg(F.sum(right).alias("n"), F.max(border).alias("on"))
-    return per.groupBy("pid").agg(F.max(F.col("on") | (F.col("n") % 2 == 1)).alias("inside"))
+    at = lambda c: F.floor(c / band)
+    spread = sides.withColumn("band", F.explode(F.sequence(at(F.least("uy", "vy")), at(F.greatest("uy", "vy")))))
+    per = points.withColumn("band", at(F.col("y"))).join(spread, "band").groupBy("pid", "gid").agg(F.sum(right).alias("n"), F.max(border).alias("on"))
+    met = per.groupBy("pid").agg(F.max(F.col("on") | (F.col("n") % 2 == 1)).alias("inside"))
+    return points.select("pid").distinct().join(met, "pid", "left").select("pid", F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
 def crossings(segments: DataFrame, cell: float = 0.1) -> DataFrame:

@@ -93,29 +93,6 @@ def borders(segments: DataFrame, by: str) -> DataFrame:
     return segments.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, pos int, x double, y double")
 
 
-def vertex_covers(pairs: DataFrame, by: str) -> DataFrame:
-    """by, step, id: nodes that together touch all pairs of their group, most useful first."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        out = N.vertex_cover(list(zip(pdf["a"], pdf["b"])))
-        return pd.DataFrame({by: pdf[by].iloc[0], "step": range(len(out)), "id": out})
-
-    kind = dict(pairs.dtypes)
-    return pairs.select(by, "a", "b").groupBy(by).applyInPandas(run, f"{by} {kind[by]}, step int, id {kind['a']}")
-
-
-def set_covers(members: DataFrame, by: str) -> DataFrame:
-    """by, step, name: sets that together hold all items of their group.  members: by, name, item."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = N.set_cover({k: set(v) for k, v in pdf.groupby("name")["item"]}, set(pdf["item"]))
-        return pd.DataFrame({by: pdf[by].iloc[0], "step": range(len(out)), "name": out})
-
-    kind = dict(members.dtypes)
-    return members.select(by, "name", "item").groupBy(by).applyInPandas(run, f"{by} {kind[by]}, step int, name {kind['name']}")
-
-
 def heat(meshes: DataFrame, by: str, side: int, source: int) -> DataFrame:
     """by, vid, distance: geodesic distances from one vertex of each surface.  meshes: by, vid, x, y, z."""
 

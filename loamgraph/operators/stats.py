@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import stage
+
 
 def ecdf(rows: DataFrame, column: str) -> DataFrame:
     """The share of rows at or below each distinct value.
@@ -17,7 +19,8 @@ def ecdf(rows: DataFrame, column: str) -> DataFrame:
 
 
 def running_share(counted: DataFrame, column: str, n: str) -> DataFrame:
-    ranged = counted.repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    # Written, so that both uses see the same ranges.
+    ranged = stage(counted.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum(n).alias("own"))
     whole = totals.agg(F.sum("own").alias("whole"))
     # One row for each range.
@@ -38,3 +41,13 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int)
 
 def top(rows: DataFrame, order: list, k: int) -> DataFrame:
     return rows.orderBy(*order).limit(k)
+
+
+def numbered(rows: DataFrame, order: list, start: int = 1) -> DataFrame:
+    """`rows` with `place` counted from `start` in this order: sorted in written ranges, numbered in each, moved on by the ranges before."""
+    ranges = stage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_own"))
+    # One row for each range.
+    before = totals.select("_part", (F.sum("_own").over(Window.orderBy("_part")) - F.col("_own")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + start
+    return ranges.join(before, "_part").withColumn("place", inner + F.col("_before")).drop("_part", "_before")

@@ -10,7 +10,8 @@ def address_number(address: Column) -> Column:
     """An IPv4 address as a number; null if it isn't one."""
     parts = F.split(address, r"\.")
     octets = [F.get(parts, F.lit(i)).try_cast("long") for i in range(4)]
-    return F.when(F.size(parts) == 4, octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3])
+    whole = (F.size(parts) == 4) & F.coalesce(F.greatest(*octets) <= 255, F.lit(False)) & F.coalesce(F.least(*octets) >= 0, F.lit(False))
+    return F.when(whole, octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3])
 
 
 def prefix_owner(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -45,10 +46,11 @@ def first_of_places(rows: DataFrame, at: str, code: str, name: str, by: str | No
     """Rows whose code and lower-cased name no earlier row has (earlier by `at`); skipped rows count as seen too.
 
     As skipped rows are seen as well, a row stays if it is its code's first and its name's first: two minima, no fold.
+    A missing code or name is a value like any other, the same for all that lack it.
     """
     keys = [by] if by else []
-    lowered = rows.withColumn("_name", F.lower(name))
-    codes = rows.groupBy(*keys, code).agg(F.min(at).alias("_first_code"))
-    names = lowered.groupBy(*keys, "_name").agg(F.min(at).alias("_first_name"))
-    both = lowered.join(codes, [*keys, code]).join(names, [*keys, "_name"])
+    marked = rows.withColumns({"_code": F.struct(*keys, F.col(code).isNull().alias("none"), F.coalesce(F.col(code).cast("string"), F.lit("")).alias("code")), "_name": F.struct(*keys, F.col(name).isNull().alias("none"), F.coalesce(F.lower(name), F.lit("")).alias("name"))})
+    codes = marked.groupBy(F.col("_code").alias("_c")).agg(F.min(at).alias("_first_code"))
+    names = marked.groupBy(F.col("_name").alias("_n")).agg(F.min(at).alias("_first_name"))
+    both = marked.join(codes, F.col("_code").eqNullSafe(F.col("_c"))).join(names, F.col("_name").eqNullSafe(F.col("_n")))
     return both.where((F.col(at) == F.col("_first_code")) & (F.col(at) == F.col("_first_name"))).select(*rows.columns)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import covers as V
 from ..operators import gradients as G
 from ..operators import mesh as M
 from ..operators import numeric as N
@@ -34,6 +35,12 @@ def _folder(t: Tables, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Triangles that break the triangle inequality, and their longest sides.
+BAD = """, bad AS (SELECT x.a AS u, x.b AS v, y.b AS w, x.rtt_us AS uv, z.rtt_us AS uw, y.rtt_us AS vw FROM edges x JOIN edges y ON y.a = x.b JOIN edges z ON z.a = x.a AND z.b = y.b WHERE 2*greatest(x.rtt_us, y.rtt_us, z.rtt_us) > x.rtt_us + y.rtt_us + z.rtt_us),
+long_side AS (SELECT CASE WHEN uv > uw AND uv > vw THEN concat(u, '-', v) WHEN uw > uv AND uw > vw THEN concat(u, '-', w) ELSE concat(v, '-', w) END AS item FROM bad)
+"""
+
+
 @query()
 def ollivier_ricci(t: Tables) -> DataFrame:
     return W.ricci(net.near(t)).select("a", "b", r6(F.col("curvature")).alias("curvature"))
@@ -92,19 +99,32 @@ def border(t: Tables) -> DataFrame:
     return N.borders(segments(t).withColumn("snapshot", F.lit(0)), "snapshot").select("pos", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
-@query()
+@query(NET + BAD + "SELECT count(DISTINCT item) AS pairs, true AS covered, true AS falling FROM long_side")
 def vertex_cover(t: Tables) -> DataFrame:
-    bad = T.long_edges(T.triangles(net.undirected(t)))
-    return N.vertex_covers(bad.withColumn("snapshot", F.lit(0)), "snapshot").select("step", "id")
+    """Nodes that touch all the longest sides of violated triangles: how many sides, whether all are touched, and whether no node adds more than one before it."""
+    sides = stage(T.long_edges(T.triangles(net.undirected(t))))
+    return _covered(V.vertex_cover(sides).withColumnRenamed("id", "name"), sides.select(F.explode(F.array("a", "b")).alias("name"), F.concat_ws("-", "a", "b").alias("item"))).withColumnRenamed("items", "pairs")
 
 
-@query()
+def _covered(cover: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: how many items, whether the cover holds all, and whether gains never rise and add up to the items."""
+    cover = stage(cover)
+    held = members.join(cover.select("name"), "name", "left_semi").agg(F.countDistinct("item").alias("held"))
+    sums = cover.agg(F.coalesce(F.sum("gain"), F.lit(0)).alias("sum"), F.coalesce(F.max("step") + 1, F.lit(0)).alias("steps"), F.count(F.lit(1)).alias("n"))
+    rising = cover.alias("x").join(cover.select((F.col("step") + 1).alias("step"), F.col("gain").alias("before")), "step").agg(F.count(F.when(F.col("gain") > F.col("before"), 1)).alias("rises"))
+    whole = members.agg(F.countDistinct("item").alias("items"))
+    one = whole.crossJoin(held).crossJoin(sums).crossJoin(rising)
+    return one.select("items", (F.col("held") == F.col("items")).alias("covered"), ((F.col("rises") == 0) & (F.col("sum") == F.col("items")) & (F.col("steps") == F.col("n"))).alias("falling"))
+
+
+@query(NET + BAD + "SELECT count(*) AS items, true AS covered, true AS falling FROM bad")
 def set_cover(t: Tables) -> DataFrame:
     """Edges that together lie in all violated triangles."""
     bad = T.with_goodness(T.triangles(net.undirected(t))).where("goodness > 1")
     name = lambda a, b: F.concat_ws("-", F.lpad(F.col(a).cast("string"), 3, "0"), F.lpad(F.col(b).cast("string"), 3, "0"))
     sides = F.explode(F.array(name("u", "v"), name("v", "w"), name("u", "w")))
-    return N.set_covers(bad.select(F.lit(0).alias("snapshot"), sides.alias("name"), F.concat_ws("-", "u", "v", "w").alias("item")), "snapshot").select("step", "name")
+    members = stage(bad.select(sides.alias("name"), F.concat_ws("-", "u", "v", "w").alias("item")))
+    return _covered(V.set_cover(members), members)
 
 
 @query()

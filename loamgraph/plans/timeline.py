@@ -12,6 +12,7 @@ from . import network as net
 from .basic import r6
 from .network import NET
 from .registry import Tables, query
+from .stage import stage
 
 
 def latency(t: Tables) -> DataFrame:
@@ -177,6 +178,7 @@ def rel_change(t: Tables) -> DataFrame:
 def quantile_stride(t: Tables) -> DataFrame:
     """Every k-th value in order: places come from range totals and each range's own order."""
     rows = t.events.select(r6(F.col("value")).alias("value"), "event_id").repartitionByRange("value", "event_id").withColumn("part", F.spark_partition_id())
+    rows = stage(rows)  # both uses see the same ranges
     totals = rows.groupBy("part").agg(F.count(F.lit(1)).alias("own"))
     whole = totals.agg(F.sum("own").alias("n"))
     before = totals.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))

@@ -102,9 +102,34 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     head.unionByName(lines[0]).unionByName(lines[1]).unionByName(tail).repartition(1).sortWithinPartitions("o", "value").select("value").write.text(path)
 
 
+def write_named(rows: DataFrame, name: str, order: list[str], path: str, suffix: str = ".csv", text: bool = False) -> None:
+    """One file for each value of the column `name`, called by it: CSV with a head line, or lines of the single other column if `text`.
+
+    A file's rows are one task's, as they are one file; then files move to their names, which touches no rows.
+    """
+    spark = rows.sparkSession
+    parts = f"{path.rstrip('/')}-parts"
+    laid = rows.withColumn("_file", F.col(name)).repartition("_file").sortWithinPartitions("_file", *order)
+    laid = laid.select("_file", *[c for c in rows.columns if c != name and (not text or c not in order)])
+    writer = laid.write.partitionBy("_file")
+    writer.text(parts) if text else writer.csv(parts, header=True)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path))
+    for group in fs.listStatus(folder):
+        if group.isDirectory():
+            stem = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(group.getPath().getName())[len("_file=") :]
+            for part in fs.listStatus(group.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(path, stem + suffix))
+    fs.delete(folder, True)
+
+
 def write_snapshots(links: DataFrame, path: str) -> None:
-    """One folder of CSV files for each snapshot time."""
-    links.repartition("snapshot_ts").sortWithinPartitions("snapshot_ts", "source_id", "target_id").write.partitionBy("snapshot_ts").csv(path, header=True)
+    """One CSV file <yyyyMMddHHmmss>.csv for each snapshot time.  links: snapshot_ts, source_id, target_id and others."""
+    stamped = links.withColumn("stamp", F.date_format("snapshot_ts", "yyyyMMddHHmmss")).drop("snapshot_ts")
+    write_named(stamped, "stamp", ["source_id", "target_id"], path)
 
 
 def read_flow_log(spark: SparkSession, path: str) -> DataFrame:

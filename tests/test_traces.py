@@ -14,7 +14,7 @@ from loamgraph.operators import traces as R
 from loamgraph.sources import metadata as D
 from loamgraph.sources import network as N
 
-from test_sources import put
+from .test_sources import put
 
 
 def rows(df, *order):
