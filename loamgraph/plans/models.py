@@ -224,16 +224,6 @@ def graphml_roundtrip(t: Tables) -> DataFrame:
     return edges.select("source", "target", F.col("attributes")["rtt"].alias("rtt")).join(cities, "source")
 
 
-@query(NET + "SELECT CAST(y AS VARCHAR) AS snapshot, CAST(count(*) AS BIGINT) AS links, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT year(ts) AS y, source, target, sum(throughput) AS w FROM raw WHERE source <> target GROUP BY 1, 2, 3) WHERE y >= 1996 GROUP BY 1")
-def snapshot_files(t: Tables) -> DataFrame:
-    """Link files for each snapshot, written, then read from a first one on."""
-    path = _folder(t, "snapshots")
-    links = net.raw_links(t).where("source <> target").groupBy(F.year("ts").alias("snapshot_ts"), F.col("source").alias("source_id"), F.col("target").alias("target_id")).agg(F.sum("throughput").alias("throughput"))
-    files.write_snapshots(links, path)
-    back = t.spark.read.option("header", True).csv(path).where("snapshot_ts >= 1996")
-    return back.groupBy(F.col("snapshot_ts").cast("string").alias("snapshot")).agg(F.count(F.lit(1)).alias("links"), F.sum(F.col("throughput").cast("long")).alias("weight"))
-
-
 @query("SELECT event_type AS key, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2")
 def stream_hourly(t: Tables) -> DataFrame:
     """Hourly statistics of a stream; hours still open come out as they are."""
