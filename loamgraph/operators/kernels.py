@@ -238,61 +238,6 @@ def convex_hull(points: np.ndarray) -> list[int]:
     return chain(order) + chain(order[::-1])
 
 
-def outer_border(points: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[float, float]]:
-    """The outer border of a drawn graph: edges are cut where they cross, then the walk keeps to its rightmost turn.
-
-    Only the component with the leftmost point is walked.
-    """
-    places = {tuple(p): i for i, p in enumerate(points.tolist())}
-    nodes = [tuple(p) for p in points.tolist()]
-    near: dict[int, set[int]] = {}
-    for k, (a, b) in enumerate(edges):
-        p, d = points[a], points[b] - points[a]
-        cuts = [(0.0, a), (1.0, b)]
-        for m, (c, e) in enumerate(edges):
-            if m == k or {a, b} & {c, e}:
-                continue
-            r, f = points[c], points[e] - points[c]
-            det = d[0] * f[1] - d[1] * f[0]
-            if abs(det) < 1e-15:
-                continue
-            t = ((r[0] - p[0]) * f[1] - (r[1] - p[1]) * f[0]) / det
-            u = ((r[0] - p[0]) * d[1] - (r[1] - p[1]) * d[0]) / det
-            if 0 < t < 1 and 0 < u < 1:
-                first = min(k, m)
-                x = points[edges[first][0]]
-                y = points[edges[first][1]] - x
-                w = t if first == k else u
-                spot = (round(float(x[0] + w * y[0]), 12), round(float(x[1] + w * y[1]), 12))
-                if spot not in places:
-                    places[spot] = len(nodes)
-                    nodes.append(spot)
-                cuts.append((t, places[spot]))
-        cuts.sort()
-        for (_, x), (_, y) in zip(cuts, cuts[1:]):
-            if x != y:
-                near.setdefault(x, set()).add(y)
-                near.setdefault(y, set()).add(x)
-    if not near:
-        return []
-    start = min(near, key=lambda i: nodes[i])
-    at, heading, walk = start, np.pi, []
-    first = None
-    for _ in range(4 * sum(map(len, near.values())) + 4):
-        def turn(j: int) -> float:
-            angle = np.arctan2(nodes[j][1] - nodes[at][1], nodes[j][0] - nodes[at][0])
-            return (angle - heading - 1e-12) % (2 * np.pi)
-
-        after = min(near[at], key=lambda j: (turn(j), j))
-        if first == (at, after):
-            break
-        first = first or (at, after)
-        walk.append(nodes[at])
-        heading = np.arctan2(nodes[at][1] - nodes[after][1], nodes[at][0] - nodes[after][0])
-        at = after
-    return walk
-
-
 def _mesh_matrices(points: np.ndarray, faces: np.ndarray):
     """Cotangent Laplacian (negative semi-definite), vertex areas, and per-face gradients and divergences."""
     n = len(points)

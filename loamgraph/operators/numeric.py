@@ -79,20 +79,6 @@ def hulls(points: DataFrame, by: str) -> DataFrame:
     return points.select(by, "id", "x", "y").groupBy(by).applyInPandas(run, f"{by} {kind[by]}, pos int, id {kind['id']}")
 
 
-def borders(segments: DataFrame, by: str) -> DataFrame:
-    """by, pos, x, y: the outer border of each snapshot's drawn graph."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spots = sorted(set(zip(pdf["ux"], pdf["uy"])) | set(zip(pdf["vx"], pdf["vy"])))
-        place = {p: k for k, p in enumerate(spots)}
-        edges = sorted({(place[a], place[b]) for a, b in zip(zip(pdf["ux"], pdf["uy"]), zip(pdf["vx"], pdf["vy"])) if a != b})
-        walk = N.outer_border(np.array(spots), edges)
-        return pd.DataFrame({by: pdf[by].iloc[0], "pos": range(len(walk)), "x": [p[0] for p in walk], "y": [p[1] for p in walk]})
-
-    kind = dict(segments.dtypes)
-    return segments.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, pos int, x double, y double")
-
-
 def heat(meshes: DataFrame, by: str, side: int, source: int) -> DataFrame:
     """by, vid, distance: geodesic distances from one vertex of each surface.  meshes: by, vid, x, y, z."""
 

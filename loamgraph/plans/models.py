@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import borders as B
 from ..operators import covers as V
 from ..operators import gradients as G
 from ..operators import mesh as M
@@ -23,7 +24,7 @@ from .graph import loaded_routes
 from .network import NET
 from .registry import Tables, query
 from .stage import stage
-from .surface import EPS, SIDE, loads, loads_sql, parts, segments
+from .surface import EPS, SEG, SIDE, loads, loads_sql, parts, segments
 from .timeline import settled, yearly
 
 
@@ -94,9 +95,21 @@ def convex_hulls(t: Tables) -> DataFrame:
     return N.hulls(placed, "country")
 
 
+@query(NET + SEG + "SELECT count(*) AS nodes, 0 AS outside FROM support WHERE id IN (SELECT a FROM near UNION SELECT b FROM near)")
+def border_holds(t: Tables) -> DataFrame:
+    """How many of the drawn nodes, and how many of them lie outside all borders."""
+    rings = stage(B.outer_rings(segments(t)))
+    drawn = net.near(t).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    spots = stage(support(t).join(drawn, "id").select(F.col("id").alias("pid"), "x", "y"))
+    on = spots.join(rings.select("x", "y").distinct(), ["x", "y"], "left_semi").select("pid")
+    inside = M.in_polygons(spots.join(on, "pid", "left_anti"), rings.select(F.col("ring").alias("gid"), "pos", "x", "y"))
+    return spots.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(inside.agg(F.count(F.when(~F.col("inside"), 1)).alias("outside")))
+
+
 @query()
 def border(t: Tables) -> DataFrame:
-    return N.borders(segments(t).withColumn("snapshot", F.lit(0)), "snapshot").select("pos", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+    """The outer borders of the drawn network, one for each connected part."""
+    return B.outer_rings(segments(t)).select("ring", "pos", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
 @query(NET + BAD + "SELECT count(DISTINCT item) AS pairs, true AS covered, true AS falling FROM long_side")
