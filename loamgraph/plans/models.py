@@ -18,6 +18,7 @@ from ..operators import transport as W
 from ..operators import triangles as T
 from ..sources import network as files
 from ..streaming import series as stream
+from ..streaming import smoothing
 from . import network as net
 from .basic import r6, support
 from .graph import loaded_routes
@@ -254,3 +255,14 @@ def stream_hysteresis(t: Tables) -> DataFrame:
     return stream.drained(out, _folder(t, "stream")).select("key", "event_id", "state", r6(F.col("smooth")).alias("smooth"))
 
 
+@query(
+    "WITH RECURSIVE o AS (SELECT event_type AS key, event_id, value, epoch_us(ts)//1000 AS ms, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts)//1000, event_id) AS k FROM events WHERE value IS NOT NULL),\n"
+    "ew AS (SELECT key, k, event_id, ms, value, CAST(value AS DOUBLE) AS e FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, o.event_id, o.ms, o.value, ew.e + (1 - exp(CAST(-0.0001 AS DOUBLE)*(o.ms - ew.ms)/1000))*(o.value - ew.e) FROM ew JOIN o ON o.key = ew.key AND o.k = ew.k + 1)\n"
+    "SELECT key, event_id, ms // 1000 AS sec, round(e, 5) AS ewma, abs(value - e) > 20 AS changed FROM ew WHERE ms <= (SELECT max(epoch_us(ts)//1000) FROM events) - 3600000"
+)
+def stream_ewma(t: Tables) -> DataFrame:
+    """Smoothed values and change flags of a stream, for all rows that its watermark has passed."""
+    source = stream.events(t.spark, f"{t.folder}/events.parquet")
+    with smoothing.rocks(t.spark):
+        out = stream.drained(smoothing.smoothed(source, 0.0001, 20.0), _folder(t, "stream"))
+    return out.select("key", "event_id", "sec", F.round("ewma", 5).alias("ewma"), "changed")
