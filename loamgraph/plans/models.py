@@ -166,6 +166,11 @@ def mesh_distances(t: Tables) -> DataFrame:
     return P.closure(stage(P.adjacency(edges, "w")), M.grid(t.spark, 9, 9).select(F.col("vid").alias("id")))
 
 
+def dome(t: Tables, side: int) -> DataFrame:
+    x, y = F.col("x") - 0.5, F.col("y") - 0.5
+    return M.grid(t.spark, side, side).select("vid", "x", "y", F.sqrt(F.lit(2.0) - x * x - y * y).alias("z"), "border")
+
+
 def fit_inputs(t: Tables, side: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Vertices of a dome, faces, the vertices near each of the network's edges, and the edges' curvatures and lengths."""
     v = M.grid(t.spark, side, side)
@@ -174,19 +179,17 @@ def fit_inputs(t: Tables, side: int) -> tuple[DataFrame, DataFrame, DataFrame, D
     curved = W.ricci(net.near(t)).select((F.col("a") * 100 + F.col("b")).alias("sid"), F.col("curvature").alias("target"))
     fat = stage(M.points_near_segments(v.withColumnRenamed("vid", "pid"), s.drop("rtt_us"), EPS).select(F.col("pid").alias("vid"), "sid"))
     targets = stage(s.select("sid", F.sqrt(dx * dx + dy * dy).alias("length")).join(curved, "sid").select("sid", "target", "length"))
-    x, y = F.col("x") - 0.5, F.col("y") - 0.5
-    dome = stage(v.select("vid", "x", "y", F.sqrt(F.lit(2.0) - x * x - y * y).alias("z"), "border"))
-    return dome, stage(M.faces(t.spark, side, side)), fat, targets
+    return dome(t, side), stage(M.faces(t.spark, side, side)), fat, targets
 
 
 SETTINGS = [(0, 0.0), (1, 0.0002), (2, 0.002)]
 
 
 def fitted(t: Tables, side: int = 13, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    dome, faces, fat, targets = fit_inputs(t, side)
+    start, faces, fat, targets = fit_inputs(t, side)
     settings = t.spark.createDataFrame(SETTINGS, "run long, smooth double")
     # A mesh for each run: as many rows as the fit is about.
-    return G.fit(faces, dome.crossJoin(settings.select("run")), fat, targets, settings, rounds)
+    return G.fit(faces, start.crossJoin(settings.select("run")), fat, targets, settings, rounds)
 
 
 @query()

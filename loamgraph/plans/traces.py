@@ -16,6 +16,7 @@ from .graph import LINK, TAU
 from .models import _folder
 from .network import NET
 from .registry import Tables, query
+from .stage import stage
 
 ADDRESS = "concat_ws('.', 10 + {k} % 3, ({k} * 7919) % 4, ({k} * 104729) % 8, {k} % 250)".format
 PREFIX = "CASE ({k} * 31) % 3 WHEN 0 THEN concat(10 + {k} % 3, '.0.0.0/8') WHEN 1 THEN concat(10 + {k} % 3, '.', ({k} * 7919) % 4, '.0.0/16') ELSE concat(10 + ({k} * 5) % 3, '.', ({k} * 7919) % 4, '.', ({k} * 104729) % 8, '.0/24') END".format
@@ -83,16 +84,24 @@ def distance_files(t: Tables) -> DataFrame:
     return t.spark.read.csv(path, header=True, schema="source int, destination long, geodesic_distance double").select(F.col("source").cast("long").alias("source"), "destination", "geodesic_distance")
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS run, CAST(r_regionkey AS DOUBLE) / 4 AS smooth, CAST(vid AS BIGINT) AS vid, CAST(vid * 2 AS DOUBLE) / 16 AS initial, CAST(vid + r_regionkey AS DOUBLE) / 16 AS final FROM region, (SELECT unnest(range(9)) AS vid)")
+@query("SELECT run, 49 AS vertices, true AS same, true AS falls FROM (SELECT unnest([0, 1, 2]) AS run)")
 def fit_records(t: Tables) -> DataFrame:
-    """One JSON record for each fit, written and read back vertex by vertex."""
+    """One JSON record for each fitted surface, written and read back: whether all heights are as fitted, and the loss no greater than before."""
+    from .models import SETTINGS, dome, fitted
+
     path = _folder(t, "fits")
-    vids = F.sequence(F.lit(0), F.lit(8))
-    rows = t.region.select(F.col("r_regionkey").cast("long").alias("run"), F.struct((F.col("r_regionkey").cast("double") / 4).alias("smooth")).alias("parameters"), F.transform(vids, lambda v: (v * 2).cast("double") / 16).alias("initial"), F.transform(vids, lambda v: (v + F.col("r_regionkey")).cast("double") / 16).alias("final"))
-    files.write_fits(rows, path)
-    back = files.read_fits(t.spark, path, "smooth double")
-    flat = back.select("run", "parameters.smooth", F.posexplode(F.arrays_zip("initial", "final")).alias("vid", "h"))
-    return flat.select("run", "smooth", F.col("vid").cast("long").alias("vid"), "h.initial", "h.final")
+    side = 7
+    value, heights = fitted(t, side, 1)
+    before = dome(t, side).select("vid", F.col("z").alias("initial"))
+    rows = stage(heights.select("run", "vid", F.col("z").alias("final")).join(before, "vid"))
+    # One record holds one surface: its consumer's form.
+    listed = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("vid", "initial", "final"))).alias("h"))
+    settings = t.spark.createDataFrame(SETTINGS, "run long, smooth double")
+    files.write_fits(listed.join(settings, "run").select("run", F.struct("smooth").alias("parameters"), F.col("h.initial").alias("initial"), F.col("h.final").alias("final")), path)
+    back = files.read_fits(t.spark, path, "smooth double").join(settings.withColumnRenamed("smooth", "given"), "run").where("parameters.smooth = given")
+    flat = back.select("run", F.posexplode(F.arrays_zip("initial", "final")).alias("vid", "h"))
+    same = flat.join(rows, ["run", "vid"]).groupBy("run").agg(F.count(F.lit(1)).alias("vertices"), F.min((F.col("h.initial") == F.col("initial")) & (F.col("h.final") == F.col("final"))).alias("same"))
+    return same.join(value, "run").select("run", "vertices", "same", (F.col("loss_after") <= F.col("loss_before")).alias("falls"))
 
 
 @query(NET + """, p AS (SELECT id, lon/360 AS px, lat/180 AS py, CAST((id*13)%7 AS DOUBLE)/10 - CAST(0.3 AS DOUBLE) AS h FROM nodes),
