@@ -14,29 +14,38 @@ from .pieces import SPACE, Pieces, default_path, pieces
 
 #: Nodes of a worker's trie: it stays between tasks, so that later ones find the common prefixes.
 NODES = 900_000
+#: Bytes of one generation of known words' counts, of which a worker keeps two: about this for each word besides its characters.
+COUNT_BYTES, ENTRY_BYTES = 60_000_000, 110
 
 
 class CountTrie:
     """Each node stands for a prefix and holds its best score and the number of tokens of its best segmentation.
 
     A word's walk makes only the nodes that no earlier word has made; the count at its last
-    node is its token count.  Beyond `most` nodes the trie starts anew, which costs time only.
+    node is its token count.  Beyond `most` nodes the trie starts anew, which costs time only.  Counts of words are kept
+    apart, in two generations: words met again move to the newer one, and what the older one still has when the newer is full is forgotten.
     """
 
-    def __init__(self, model: Pieces, most: int = NODES):
-        self.model, self.most = model, most
+    def __init__(self, model: Pieces, most: int = NODES, count_bytes: int = COUNT_BYTES):
+        self.model, self.most, self.count_bytes = model, most, count_bytes
+        self.recent: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.held = 0
         self._clear()
 
     def _clear(self) -> None:
         self.below: list[dict[str, int]] = [{}]
         self.score = [0.0]
         self.tokens = [0]
-        self.counts: dict[str, int] = {}
 
     def count(self, word: str) -> int:
-        found = self.counts.get(word)
+        found = self.recent.get(word)
         if found is None:
-            found = self.counts[word] = self._insert(word)
+            found = self.older.get(word)
+            if found is None:
+                found = self._insert(word)
+            self.recent[word] = found
+            self.held += ENTRY_BYTES + len(word)
         return found
 
     def _insert(self, word: str) -> int:
@@ -82,19 +91,13 @@ class CountTrie:
             words = self.model.words(text)
         else:
             words = [SPACE + w for w in text.split(" ")]
-        counts = self.counts
-        missing = {w for w in words if w not in counts}
-        if len(counts) + len(missing) > self.most // 3:
-            self._clear()
-            counts, missing = self.counts, set(words)
         # In order, words with a common prefix follow each other along the trie.
-        for word in sorted(missing):
-            counts[word] = self._insert(word)
-            if self.counts is not counts:  # the trie started anew
-                self.counts[word] = counts[word]
-        if self.counts is not counts:
-            return len(words), sum(counts[w] if w in counts else self.count(w) for w in words)
-        return len(words), sum(map(counts.__getitem__, words))
+        for word in sorted({w for w in words if w not in self.recent}):
+            self.count(word)
+        total = sum(map(self.recent.__getitem__, words))
+        if self.held > self.count_bytes:
+            self.older, self.recent, self.held = self.recent, {}, 0
+        return len(words), total
 
 
 _tries: dict[str, CountTrie] = {}
