@@ -53,11 +53,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders of tables staged in each open `scratch`, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables staged inside are deleted at its end, but for those whose folders are taken off the list: what is returned may read no others."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield paths
+    finally:
+        del _SCRATCH[-1]
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """`df`, written once to the shared folder and read back: later jobs neither recompute it nor depend on a lost executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, document_key, grouped, narrow, narrow_key, staged, tidied, utf8
+from .common import blocks, document_key, grouped, narrow, narrow_key, scratch, staged, tidied, utf8
 from .components import components
 from .partitions import signatures
 from .signature_tree import Node, bitmap, build, dual_join
@@ -222,7 +222,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     group does; rows repeated with the same id and text are one document and stay or go together.
     Documents without words are linked with nothing and stay.  An empty table stays empty.
     """
-    found = similarity_classes(docs, width, percent)
-    gone = staged(found.where("k1 <> low.k1 or k2 <> low.k2").select("k1", "k2").distinct(), "gone")
+    with scratch(docs.sparkSession) as left:
+        found = similarity_classes(docs, width, percent)
+        gone = staged(found.where("k1 <> low.k1 or k2 <> low.k2").select("k1", "k2").distinct(), "gone")
+        left.pop()  # only this last table is read again
     rows = narrow_key(docs)
     return rows.join(gone, (rows["key.k1"] == gone["k1"]) & (rows["key.k2"] == gone["k2"]), "left_anti").select("row.*")
