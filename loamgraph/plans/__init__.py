@@ -7,6 +7,6 @@ from .registry import QUERIES, SQL
 
 def load() -> tuple[dict, dict]:
     """All registered queries and their SQL."""
-    from . import basic, collation, files, graph, inserted, models, more, surface, timeline, traces  # noqa: F401
+    from . import basic, collation, files, graph, inserted, models, more, spheres, surface, timeline, traces  # noqa: F401
 
     return QUERIES, SQL
