@@ -113,8 +113,8 @@ def _shares(scores: Column) -> Column:
     return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda s, y: s + y))
 
 
-def identify(docs: DataFrame, model: Model, host_col: str | None = "source", id_col: str = "doc_id", text_col: str = "text", markup_col: str | None = None, address_col: str | None = None) -> DataFrame:
-    """One row per document: doc_id, th (hash of the text), language, posterior, accepted.
+def identify(docs: DataFrame, model: Model, host_col: str | None = "source", id_col: str = "doc_id", text_col: str = "text", markup_col: str | None = None, address_col: str | None = None, kind_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, th (hash of the text), language, posterior, accepted, and kind, the string in `kind_col`, where one is named.
 
     `markup_col` holds markup (its declared language is the first lang attribute), by default the text itself;
     `address_col` an address (its suffix may name a language), by default the host.  A document is accepted if its best
@@ -124,27 +124,29 @@ def identify(docs: DataFrame, model: Model, host_col: str | None = "source", id_
     table gives an empty result.
     """
     langs = model.languages
-    schema = "doc_id long, th long, host string, suffix string, declared string, n long, scores array<double>"
+    schema = "doc_id long, th long, kind string, host string, suffix string, declared string, n long, scores array<double>"
+    own = ("doc_id", "th", "kind") if kind_col else ("doc_id", "th")
     base = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
         (F.coalesce(docs[host_col].cast("string"), F.lit("")) if host_col else F.lit("")).alias("host"),
         F.lower(F.regexp_extract(F.coalesce((docs[address_col] if address_col else docs[host_col] if host_col else F.lit("")).cast("string"), F.lit("")), r"^(?:[a-zA-Z]+://)?[^/?#]*\.([a-zA-Z]{2,})(?::\d+)?(?:[/?#]|$)", 1)).alias("suffix"),
         (F.coalesce(docs[markup_col].cast("string"), F.lit("")) if markup_col else F.lit(None).cast("string")).alias("markup"),
+        (docs[kind_col].cast("string") if kind_col else F.lit(None).cast("string")).alias("kind"),
     )
     base = base.withColumn("markup", F.coalesce("markup", "text"))
     declared = F.when(F.contains("markup", F.lit("lang=")), F.lower(F.regexp_extract("markup", r"""<[^<>]*\blang=["']?([a-zA-Z]{2,3})\b""", 1))).otherwise("")
-    base = base.select("doc_id", F.xxhash64("text").alias("th"), "host", "suffix", declared.alias("declared"), "text")
+    base = base.select("doc_id", F.xxhash64("text").alias("th"), "kind", "host", "suffix", declared.alias("declared"), "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1_000_000):
             scores, n = text_scores(model, utf8(batch.column("text")))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "host", "suffix", "declared")), pa.array(n), values], names=["doc_id", "th", "host", "suffix", "declared", "n", "scores"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "th", "kind", "host", "suffix", "declared")), pa.array(n), values], names=["doc_id", "th", "kind", "host", "suffix", "declared", "n", "scores"])
 
     scored = staged(base.mapInArrow(tidied(score), schema), "language-scores")
     if not langs:
-        return scored.select("doc_id", "th", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
+        return scored.select(*own, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     # No language is as likely under any declaration as a random one.
     none = F.array(F.lit(0.0))
     extra = _added(F.concat(_evidence(F.col("declared"), langs, DECLARED_RIGHT), none), F.concat(_evidence(F.col("suffix"), langs, SUFFIX_RIGHT), none))
@@ -165,8 +167,7 @@ def identify(docs: DataFrame, model: Model, host_col: str | None = "source", id_
     at = F.array_position("p", best).cast("int")
     names = F.array(*[F.lit(x) for x in langs], F.lit(None).cast("string"))
     return fused.select(
-        "doc_id",
-        "th",
+        *own,
         F.when(F.col("n") > 0, F.element_at(names, at)).alias("language"),
         F.when(F.col("n") > 0, F.round(best, 6)).otherwise(0.0).alias("posterior"),
         ((F.col("n") > 0) & (at <= len(langs)) & (best >= LEAST_POSTERIOR)).alias("accepted"),
@@ -181,7 +182,30 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (text == gone["_th"]), "left_anti")
 
 
-def language_table(docs: DataFrame) -> DataFrame:
-    """doc_id, language, posterior, accepted of `docs`, by a model of their own labels."""
+def page_text(html: Column) -> Column:
+    """What stands between a page's tags, without the content of scripts and styles up to their next tag; in time linear in the page."""
+    return F.regexp_replace(html.cast("string"), r"(?i)<(?:script|style)\b[^<>]*>[^<]*|<[^<>]*>", " ")
+
+
+def documents_and_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """kind, id, text, markup, host, address of all rows of both tables: a document's source is its host and address, its text its markup."""
+    host = F.lower(F.regexp_extract(pages["url"].cast("string"), r"^(?:[a-zA-Z]+://)?([^/?#:]+)", 1))
+    source = docs["source"].cast("string")
+    text = docs["text"].cast("string")
+    own = docs.select(F.lit("document").alias("kind"), docs["doc_id"].cast("long").alias("id"), text.alias("text"), text.alias("markup"), source.alias("host"), source.alias("address"))
+    return own.unionByName(pages.select(F.lit("page").alias("kind"), pages["page_id"].cast("long").alias("id"), page_text(pages["html"]).alias("text"), pages["html"].cast("string").alias("markup"), host.alias("host"), pages["url"].cast("string").alias("address")))
+
+
+def language_table(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """doc_id, language, posterior, accepted of `docs`, by a model of their own labels; with `pages`, page_id too and a row for each page.
+
+    A document's row has a null page_id, a page's a null doc_id.  A page's declared language and address are evidence beside
+    what stands between its tags, and its host's prior is smoothed towards its suffix's.  Null pages, or pages of tags
+    alone, have no language; a null address is one host of its own.
+    """
     narrow(docs)  # fails early where columns are missing
-    return identify(docs, fit(docs)).drop("th")
+    if pages is None:
+        return identify(docs, fit(docs)).drop("th")
+    found = identify(documents_and_pages(docs, pages), fit(docs), "host", "id", "text", "markup", "address", "kind")
+    each = lambda kind: F.when(F.col("kind") == kind, F.col("doc_id"))
+    return found.select(each("document").alias("doc_id"), each("page").alias("page_id"), "language", "posterior", "accepted")

@@ -57,7 +57,7 @@ def op2_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_table(documents(spark, sf_dir))
+    return language_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
