@@ -1,18 +1,18 @@
 """Resampling towards a target: n-gram features in hashed buckets, counted through a dictionary of integer words.
 
-Each block of texts has its own dictionary of words, and its n-grams are tuples of their numbers.  The blocks' words
-meet once and get ids for the whole table; tuples of ids meet, are counted, and each distinct one is written out
-as bytes and hashed once.  Its bucket and the bucket's gain then join the blocks' tuples again, where documents sum them up.
-What is shuffled are distinct words and tuples of blocks, not their occurrences.
+Each block of texts has its own dictionary of words, and its n-grams are pairs of numbers: that of the run of n - 1 words, and
+that of the next word.  Each distinct one is hashed once a block, from its shorter run's checksum on.  A first pass adds up the
+buckets of all blocks of a task, so that what is shuffled is at most one row a bucket and task; with the buckets' gains, a second
+pass over the texts weighs each document.  Nothing else is written, and a task holds one block and two vectors over the buckets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,80 +22,44 @@ from .words import LETTERS, Words
 #: The longest n-gram, the number of buckets, words that a document needs to be drawn, and the share that is.
 LONGEST, BUCKETS, LEAST_WORDS, PERCENT = 1, 10_000, 20, 10
 SEED = "2024"
-BLOCK = "block long, words array<binary>, grams array<array<int>>, totals array<long>, doc_ids array<long>, n_words array<long>, kinds array<int>, gram array<int>, times array<int>"
-
-
-def _coded(docs: DataFrame, longest: int) -> DataFrame:
-    """One row for each block of texts: its distinct words, its longer n-grams as tuples of their numbers, totals of both, and for its documents (doc_ids, n_words) the
-    number of different n-grams (kinds), which ones (words first, then tuples), and how many times."""
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        for batch in blocks(batches, "text", 4_000_000):
-            words = Words(utf8(batch.column("text")), LETTERS, lower=True)
-            ids, dictionary = words.numbered()
-            owner = words.owners()
-            here, found, tuples, known = ids, [(owner, ids)], [], len(dictionary)
-            for n in range(2, longest + 1):
-                # Runs of n words: a run of n - 1 and the next word.
-                size = max(0, len(ids) - n + 1)
-                inside = np.flatnonzero(owner[:size] == owner[n - 1 :]) if size else np.empty(0, np.int64)
-                pair = here[inside] * (len(dictionary) + 1) + ids[inside + n - 1]
-                kind, first, back = np.unique(pair, return_index=True, return_inverse=True)
-                tuples.append(np.stack([ids[inside[first] + j] for j in range(n)], axis=1) if len(kind) else np.empty((0, n), np.int64))
-                found.append((owner[inside], back + known))
-                known += len(kind)
-                here = np.full(size, -1)
-                here[inside] = back
-            gram = np.concatenate([g for _, g in found])
-            key, times = np.unique(np.concatenate([o for o, _ in found]) * max(1, known) + gram, return_counts=True)
-            flat = np.concatenate([np.empty(0, np.int64), *(t.ravel() for t in tuples)]).astype(np.int32)
-            widths = np.concatenate([np.empty(0, np.int64), *(np.full(len(t), t.shape[1]) for t in tuples)])
-            grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(widths)]), pa.int32()), pa.array(flat))
-            kinds = np.bincount(key // max(1, known), minlength=batch.num_rows)
-            columns = (
-                dictionary.cast(pa.binary()),
-                grams,
-                pa.array(np.bincount(gram, minlength=known).astype(np.int64)),
-                batch.column("doc_id"),
-                pa.array(words.counts),
-                pa.array(kinds, pa.int32()),
-                pa.array(key % max(1, known), pa.int32()),
-                pa.array(times, pa.int32()),
-            )
-            row = [pa.array([number]), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns)]
-            number += 1
-            yield pa.RecordBatch.from_arrays(row, names=["block", "words", "grams", "totals", "doc_ids", "n_words", "kinds", "gram", "times"])
-
-    return docs.select("doc_id", "text").mapInArrow(tidied(code), BLOCK)
-
-
-def _word_ids(coded: DataFrame) -> DataFrame:
-    """(id, word): a number for each distinct word of the blocks, written once."""
-    return staged(coded.select(F.explode("words").alias("word")).distinct().select(F.monotonically_increasing_id().alias("id"), "word"), "word-ids")
-
-
-def _tuples(coded: DataFrame, dictionary: DataFrame, longest: int) -> DataFrame:
-    """(block, at, ids, total): the blocks' n-grams as tuples of the dictionary's ids; a word's tuple has its own id, and only longer ones need those of the block together."""
-    words = coded.select("block", F.posexplode(F.arrays_zip("words", F.slice("totals", 1, F.size("words")).alias("total"))).alias("at", "w")).select("block", "at", "w.words", "w.total")
-    single = words.join(dictionary, F.col("words") == F.col("word")).select("block", "at", F.array("id").alias("ids"), "total")
-    if longest == 1:
-        return single
-    own = single.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", F.col("ids")[0].alias("id")))).alias("own")).select("block", F.col("own.id").alias("own"))
-    longer = coded.select("block", "grams", F.slice("totals", F.size("words") + 1, F.size("grams")).alias("total"), F.size("words").alias("first"))
-    ids = F.transform("grams", lambda g: F.transform(g, lambda i: F.element_at("own", i + 1)))
-    rows = longer.join(own, "block").select("block", "first", F.posexplode(F.arrays_zip(ids.alias("ids"), "total")).alias("at", "t"))
-    return single.unionByName(rows.select("block", (F.col("first") + F.col("at")).alias("at"), "t.ids", "t.total"))
-
-
-def _hashed(tuples: DataFrame, dictionary: DataFrame, longest: int, buckets: int) -> DataFrame:
-    """(ids, bucket, n): each distinct tuple once, with the CRC-32 of its bytes modulo `buckets` and its total."""
-    out = tuples.groupBy("ids").agg(F.sum("total").alias("n"))
-    parts: list[Column] = []
-    for k in range(longest):
-        out = out.join(dictionary.select(F.col("id").alias(f"id{k}"), F.col("word").alias(f"word{k}")), F.try_element_at("ids", F.lit(k + 1)) == F.col(f"id{k}"), "left" if k else "inner").drop(f"id{k}")
-        parts += [F.col(f"word{k}")] if not k else [F.when(F.col(f"word{k}").isNotNull(), F.concat(F.lit(b" "), F.col(f"word{k}"))).otherwise(F.lit(b""))]
-    return out.select("ids", (F.crc32(F.concat(*parts)) % buckets).alias("bucket"), "n")
+#: Bytes of text that share a dictionary.
+BLOCK_BYTES = 4_000_000
+
+
+def _features(batch: pa.RecordBatch, longest: int, buckets: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The texts' numbers of words; and for each n, (text, bucket) of all runs of n words, texts in order."""
+    words = Words(utf8(batch.column("text")), LETTERS, lower=True)
+    ids, dictionary = words.numbered()
+    owner = words.owners()
+    plain = dictionary.to_pylist()
+    sums = np.fromiter(map(zlib.crc32, plain), np.int64, len(plain))
+    here, found = ids, [(owner, (sums % buckets)[ids])]
+    spaced = [b" " + w for w in plain] if longest > 1 else []
+    for n in range(2, longest + 1):
+        # Runs of n words: a run of n - 1 and the next word.
+        size = max(0, len(ids) - n + 1)
+        inside = np.flatnonzero(owner[:size] == owner[n - 1 :]) if size else np.empty(0, np.int64)
+        kind, back = np.unique(here[inside] * (len(plain) + 1) + ids[inside + n - 1], return_inverse=True)
+        shorter, last = np.divmod(kind, len(plain) + 1)
+        sums = np.fromiter(map(zlib.crc32, (spaced[i] for i in last.tolist()), sums[shorter].tolist()), np.int64, len(kind))
+        found.append((owner[inside], (sums % buckets)[back]))
+        here = np.full(size, -1)
+        here[inside] = back
+    return words.counts, found
+
+
+def _bucket_counts(texts: DataFrame, longest: int, buckets: int) -> DataFrame:
+    """(bucket, n): the texts' features by bucket, a row for each bucket that a task fills."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, dtype=np.int64)
+        for batch in blocks(batches, "text", BLOCK_BYTES):
+            for _, bucket in _features(batch, longest, buckets)[1]:
+                total += np.bincount(bucket, minlength=buckets)
+        filled = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(total[filled])], names=["bucket", "n"])
+
+    return texts.select("text").mapInArrow(tidied(count), "bucket long, n long")
 
 
 def bucket_gains(raw: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
@@ -111,21 +75,22 @@ def bucket_gains(raw: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
 WEIGHED = "doc_id long, n_words long, n_features long, weight long"
 
 
-def _weighed(coded: DataFrame, gains: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_features, weight) from the blocks and (block, gains), gains by the block's numbers of n-grams."""
+def _weighed(docs: DataFrame, gains: np.ndarray, longest: int) -> DataFrame:
+    """(doc_id, n_words, n_features, weight), with the gain of each bucket."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].values for c in ("doc_ids", "n_words", "kinds", "gram", "times", "gains")}
-                kinds, gram, times, gain = (one[c].to_numpy().astype(np.int64) if one[c] is not None else np.empty(0, np.int64) for c in ("kinds", "gram", "times", "gains"))
-                ends = np.cumsum(kinds)
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (times, times * gain[gram])]
-                features, weight = (s[ends] - s[ends - kinds] for s in sums)
-                yield pa.RecordBatch.from_arrays([one["doc_ids"], one["n_words"], pa.array(features), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
+        for batch in blocks(batches, "text", BLOCK_BYTES):
+            counts, found = _features(batch, longest, len(gains))
+            features, weight = np.zeros((2, batch.num_rows), dtype=np.int64)
+            for owner, bucket in found:
+                size = np.bincount(owner, minlength=batch.num_rows)
+                ends = np.cumsum(size)
+                sums = np.concatenate([[0], np.cumsum(gains[bucket])])
+                features += size
+                weight += sums[ends] - sums[ends - size]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(features), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
 
-    joined = coded.select("block", "doc_ids", "n_words", "kinds", "gram", "times").join(gains, "block", "left")
-    return joined.mapInArrow(tidied(weigh), WEIGHED)
+    return docs.select("doc_id", "text").mapInArrow(tidied(weigh), WEIGHED)
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -157,20 +122,16 @@ def importance_resample(docs: DataFrame, target: DataFrame, longest: int = LONGE
     their own, with ranks that follow each other.  An empty target has gains all the same; an empty table gives an empty result.  Very long texts are one document of a block.  Other columns are
     not read, whatever their names.
     """
-    coded = staged(_coded(narrow(docs, id_col, text_col), longest), "coded")
-    wanted = staged(_coded(target.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(target[target_text].cast("string"), F.lit("")).alias("text")), longest), "coded-target")
-    columns = ["words", "grams", "totals"]
-    dictionary = _word_ids(coded.select("words").unionByName(wanted.select("words")))
-    tuples = staged(_tuples(coded.select("block", *columns), dictionary, longest), "tuples")
-    raw = staged(_hashed(tuples, dictionary, longest, buckets), "hashed")
-    aimed = _hashed(_tuples(wanted.select("block", *columns), dictionary, longest), dictionary, longest, buckets)
+    texts = narrow(docs, id_col, text_col)
+    aims = target.select(F.coalesce(target[target_text].cast("string"), F.lit("")).alias("text"))
     # One row a bucket.
-    gains = staged(bucket_gains(raw, aimed, buckets), "gains")
-    priced = raw.join(gains, "bucket").select("ids", "gain")
-    back = tuples.select("block", "at", "ids").join(priced, "ids").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "gain"))).alias("g")).select("block", F.col("g.gain").alias("gains"))
+    raw = staged(_bucket_counts(texts, longest, buckets).groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-counts")
+    gains = np.zeros(buckets, dtype=np.int64)
+    for r in bucket_gains(raw, _bucket_counts(aims, longest, buckets), buckets).collect():
+        gains[r["bucket"]] = r["gain"]
     u = (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
     score = F.col("weight") + F.floor(F.lit(-1000.0) * F.log(-F.log(u)))
-    scored = staged(_weighed(coded, back).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_words", "n_features", "weight", score.alias("score")), "scores")
+    scored = staged(_weighed(texts, gains, longest).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n_words", "n_features", "weight", score.alias("score")), "scores")
     able = F.col("n_words") >= least_words
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_first(), F.col("n_features").asc(), F.col("rid").asc()]
     drawn = percent * scored.where(able).count() // 100

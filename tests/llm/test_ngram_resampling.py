@@ -9,6 +9,7 @@ from collections import Counter
 import pyspark.sql.functions as F
 import pytest
 
+from loamgraph.llm import ngram_resampling
 from loamgraph.llm.ngram_resampling import importance_resample, ranked
 
 from .helpers import awkward, table
@@ -65,3 +66,18 @@ def test_ranks_of_equal_rows_follow_each_other(spark):
     rows = spark.range(5000).selectExpr("id", "1 AS score")
     got = ranked(rows, [F.col("score").desc(), F.col("id").asc()], "ranks").orderBy("id").collect()
     assert [r["rank"] for r in got] == list(range(1, 5001))
+
+
+def test_nothing_grows_with_the_distinct_words(spark, monkeypatch):
+    written = {}
+
+    def counted(df, name, keep=ngram_resampling.staged):
+        out = keep(df, name)
+        written[name] = (out.count(), any(f.dataType.typeName() == "array" for f in out.schema))
+        return out
+
+    monkeypatch.setattr(ngram_resampling, "staged", counted)
+    texts = [" ".join(f"w{300 * i + j}" for j in range(300)) for i in range(50)]
+    ngram_resampling.importance_resample(table(spark, texts), benchmark(spark, [("1", "w1 w2")]), buckets=100, least_words=0).count()
+    # 15,000 distinct words: at most a row for each bucket or document is written, and no array of a block's words.
+    assert written and all(rows <= 100 and not arrays for rows, arrays in written.values()), written
