@@ -131,6 +131,21 @@ def _sort_buckets(length: int):
     return tidied(sort)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MARKS rows whose runs overlap, with the runs that they make together."""
+    for batch in batches:
+        froms, tos = [], []
+        for a, b in zip(batch.column("froms"), batch.column("tos")):
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+            froms.append(a[new])
+            tos.append(b[np.append(new[1:], len(a)) - 1])
+        runs = [pa.array(c, pa.list_(pa.int64())) for c in (froms, tos)]
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("part"), *runs], names=["bucket", "part", "froms", "tos"])
+
+
 MARKS = "bucket long, part binary, froms array<long>, tos array<long>"
 
 
@@ -158,16 +173,17 @@ def _finer(length: int, k: int):
         return np.repeat(np.arange(len(texts)), count), mix64(grams[place] + mix64(grams[place + length - wide])), at, at
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+        types = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.int64())
         for batch in blocks(batches, "bytes", 1_000_000 if k < length else 50_000):
             buckets, parts, texts, copies = (batch.column(c).to_pylist() for c in ("bucket", "part", "bytes", "copies"))
             doc, h, lo, hi = chosen(texts)
             for a in range(0, len(doc), 20_000):
-                rows = []
+                # A text that goes on in a short period has the same strings many times: they are one row.
+                places: dict[tuple, list[int]] = {}
                 for i, gram, x, y in zip(doc[a : a + 20_000].tolist(), h[a : a + 20_000].view(np.int64).tolist(), lo[a : a + 20_000].tolist(), hi[a : a + 20_000].tolist()):
-                    own = texts[i][x : y + length]
-                    rows.append((buckets[i], parts[i], x, gram, xxhash.xxh3_128_digest(own), own, copies[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["outer", "whole", "at", "bucket", "part", "bytes", "copies"])
+                    places.setdefault((i, gram, texts[i][x : y + length]), []).append(x)
+                rows = [(buckets[i], parts[i], ats, gram, xxhash.xxh3_128_digest(own), own, copies[i] * len(ats)) for (i, gram, own), ats in places.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["outer", "whole", "ats", "bucket", "part", "bytes", "copies"])
 
     return tidied(finer)
 
@@ -181,12 +197,13 @@ def _marks(texts: DataFrame, length: int, bucket_bytes: int, widths: list[int])
     if large.isEmpty():
         return staged(sort(texts), "marks")
     small = staged(sort(texts.join(large, "bucket", "left_anti")), "marks")
-    parts = texts.join(large, "bucket", "left_semi").select("bucket", "part", "bytes", "copies").mapInArrow(_finer(length, widths[0]), "outer long, whole binary, at long, bucket long, part binary, bytes binary, copies long")
+    parts = texts.join(large, "bucket", "left_semi").select("bucket", "part", "bytes", "copies").mapInArrow(_finer(length, widths[0]), "outer long, whole binary, ats array<long>, bucket long, part binary, bytes binary, copies long")
     finer = staged(parts.groupBy("bucket", "part").agg(F.max("bytes").alias("bytes"), F.sum("copies").alias("copies")), "finer-texts")
     own = _marks(finer, length, bucket_bytes, widths[1:])
-    moved = lambda c: F.flatten(F.collect_list(F.transform(c, lambda x: x + F.col("at")))).alias(c)
-    back = parts.select("outer", "whole", "at", "bucket", "part").join(own, ["bucket", "part"])
-    return small.unionByName(staged(back.groupBy("outer", "whole").agg(moved("froms"), moved("tos")).select(F.col("outer").alias("bucket"), F.col("whole").alias("part"), "froms", "tos"), "finer-marks"))
+    moved = lambda c: F.flatten(F.collect_list(F.flatten(F.transform("ats", lambda at: F.transform(c, lambda x: x + at))))).alias(c)
+    back = parts.select("outer", "whole", "ats", "bucket", "part").join(own, ["bucket", "part"])
+    whole = back.groupBy("outer", "whole").agg(moved("froms"), moved("tos")).select(F.col("outer").alias("bucket"), F.col("whole").alias("part"), "froms", "tos")
+    return small.unionByName(staged(whole.mapInArrow(tidied(_merged), MARKS), "finer-marks"))
 
 
 def removals(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, characters: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import xxhash
 
-from loamgraph.llm.repeats import drop_repeats, repeat_digests
+from loamgraph.llm.repeats import _finer, drop_repeats, finer_widths, repeat_digests
 from loamgraph.llm.suffix import SEPARATOR, Block, common_prefixes, repeated_starts, suffix_order
 
 from .helpers import awkward, table
@@ -88,3 +89,23 @@ def test_texts_under_a_null_id_that_share_hash_bits(spark):
     got = {(r.n_bytes, r.n_removed > 0, r.kept_sha256 == hashlib.sha256(clean.encode()).hexdigest()) for r in repeat_digests(docs).collect()}
     assert got == {(len(repeated), True, False), (len(clean), False, True), (len(passage) + 10, True, False)}
     assert clean in {r.text for r in drop_repeats(docs).collect()}
+
+
+def test_periodic_texts_are_one_row_a_piece():
+    line = "Is onhe. "
+    text = ("begin " + line * 300 + "end").encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([b"p"]), pa.array([text]), pa.array([3])], names=["bucket", "part", "bytes", "copies"])
+    for width in finer_widths(200):
+        found = [r for b in _finer(200, width)(iter([batch])) for r in b.to_pylist()]
+        assert len(found) <= 220 if width == 200 else len(found) <= 40
+        starts = [at + i for r in found for at in r["ats"] for i in range(len(r["bytes"]) - 199)]
+        assert sorted(starts) == list(range(len(text) - 199))
+        assert all(text[at : at + len(r["bytes"])] == r["bytes"] and r["copies"] == 3 * len(r["ats"]) for r in found for at in r["ats"])
+
+
+@pytest.mark.parametrize("cap", [8_000_000, 500])
+def test_periodic_texts_in_large_buckets(spark, cap):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 90))) + "Is onhe. " * rng.randint(5, 40) + "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 90))) for _ in range(30)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_digests(table(spark, texts), 60, bucket_bytes=cap).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 60)
