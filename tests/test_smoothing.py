@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 
 from loamgraph.streaming import series as stream
@@ -43,3 +44,75 @@ def test_batches_out_of_order(spark, tmp_path):
     for i in passed:
         assert got[i].ewma == pytest.approx(want[i]), i
         assert got[i].changed == (abs(got[i].value - want[i]) > 20)
+
+
+def test_a_key_holds_one_slot_of_time_and_gives_out_parts(spark, tmp_path):
+    rng = random.Random(8)
+    days = 3
+    rows = [("a", rng.randrange(86_400 * days), i, round(rng.uniform(0, 100), 3)) for i in range(days * 8000)] + [("a", 86_400 * days + 7200, -1, 1.0)]
+    frame = spark.createDataFrame([(i, s, key, v) for key, s, i, v in rows], "event_id long, sec long, event_type string, value double")
+    frame.selectExpr("event_id", "timestamp_seconds(sec) AS ts", "0L AS user_id", "event_type", "value", "'' AS props").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    with smoothing.rocks(spark):
+        out = stream.drained(smoothing.smoothed(source, 0.001, 20.0), str(tmp_path / "out"))
+    got, want = {r.event_id: r.ewma for r in out.collect()}, by_hand(rows[:-1], 0.001, math.inf)
+    assert got == pytest.approx(want)
+
+    class Kept:
+        """A state of one key, in memory."""
+
+        def __init__(self):
+            self.rows, self.timers, self.most = {}, [], 0
+
+        def getMapState(self, name, *_):
+            return Table(self, name)
+
+        def getValueState(self, name, *_):
+            return Table(self, name)
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Table:
+        def __init__(self, kept, name):
+            self.kept, self.own = kept, kept.rows.setdefault(name, {})
+
+        def exists(self):
+            return bool(self.own)
+
+        def iterator(self):
+            return iter(list(self.own.items()))
+
+        def getValue(self, key):
+            return self.own[key]
+
+        def get(self):
+            return self.own[()]
+
+        def updateValue(self, key, value):
+            self.kept.most = max([self.kept.most, *(len(v) for v in value if isinstance(v, bytes))])
+            self.own[key] = value
+
+        def update(self, value):
+            self.own[()] = value
+
+        def removeKey(self, key):
+            del self.own[key]
+
+        def clear(self):
+            self.own.clear()
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 86_400_000 * days + 1000
+
+    state, worker = Kept(), smoothing.Smoother(0.001, 20.0, 10**12)
+    worker.init(state)
+    frames = (pd.DataFrame([(s * 1000, i, v) for _, s, i, v in rows[a : a + 5000]], columns=["ms", "event_id", "value"]) for a in range(0, len(rows), 5000))
+    assert list(worker.handleInputRows(("a",), frames, Now())) == []
+    assert len(state.rows["slots"]) == days + 1 and state.most < 24 * 8500
+    parts = list(worker.handleExpiredTimer(("a",), Now(), None))
+    # All rows that are ready come out, in parts; the one ahead of the watermark stays, with its timer.
+    assert len(parts) == days and max(map(len, parts)) < 8500 and sum(map(len, parts)) == days * 8000
+    assert dict(pd.concat(parts)[["event_id", "ewma"]].values) == pytest.approx(want)
+    assert list(state.rows["slots"]) == [(days,)] and state.timers[-1] == (86_400 * days + 7200) * 1000
