@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+#: Where rows without a time or id stand; rows given out at once.
+LAST, GIVEN = 2**63 - 1, 10_000
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -33,21 +37,30 @@ def hysteresis(stream: DataFrame, centre: float, half: float) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         side = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for i, value in zip(rows["event_id"], rows["value"]):
-            if pd.isna(value):
-                side = None
-                continue
-            if value > upper:
-                side = "H"
-            elif value <= lower:
-                side = "L"
-            elif side is None:
-                side = "H" if value > centre else "L"
-            out.append((key[0], i, side, max(value, upper) if side == "H" else min(value, lower)))
+        # A key's rows are held as three numbers each, rows without a time or id last.
+        held = []
+        for batch in batches:
+            at, i = batch["ts"].to_numpy("datetime64[ns]").view(np.int64), batch["event_id"]
+            held.append((np.where(batch["ts"].isna(), LAST, at), i.astype("Int64").fillna(LAST).to_numpy(np.int64), batch["value"].to_numpy(np.float64, na_value=np.nan)))
+        ts, ids, values = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        order = np.lexsort((ids, ts))
+        for a in range(0, len(order), GIVEN):
+            own = order[a : a + GIVEN]
+            out = []
+            for i, value in zip(ids[own].tolist(), values[own].tolist()):
+                if math.isnan(value):
+                    side = None
+                    continue
+                if value > upper:
+                    side = "H"
+                elif value <= lower:
+                    side = "L"
+                elif side is None:
+                    side = "H" if value > centre else "L"
+                out.append((key[0], None if i == LAST else i, side, max(value, upper) if side == "H" else min(value, lower)))
+            yield pd.DataFrame(out, columns=["key", "event_id", "state", "smooth"])
         state.update((side,))
-        yield pd.DataFrame(out, columns=["key", "event_id", "state", "smooth"])
 
     rows = stream.select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
     return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id long, state string, smooth double", "side string", "append", GroupStateTimeout.NoTimeout)
