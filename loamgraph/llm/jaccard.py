@@ -118,8 +118,8 @@ def _dealt(rows: DataFrame, key: Column, width: int, percent: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_links(width, percent), "a long, b long")
 
 
-def _round(rows: DataFrame, lengths: DataFrame, texts: DataFrame, known: DataFrame | None, width: int, percent: int) -> DataFrame:
-    """Links within the blocks of each bucket, given what is connected already.  rows: bucket, cid, n."""
+def _round(rows: DataFrame, lengths: DataFrame, texts: DataFrame, known: DataFrame | None, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the blocks of each bucket, given what is connected already, and each bucket's number of blocks.  rows: bucket, cid, n."""
     blocks_of = staged(_blocks(rows.join(lengths, ["cid", "n"]), ["bucket"], "blocks"), "blocks")
     met = rows.join(blocks_of, "bucket")
     if known is None:
@@ -127,7 +127,7 @@ def _round(rows: DataFrame, lengths: DataFrame, texts: DataFrame, known: DataFra
     else:
         met = met.join(known, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     met = met.select("cid", "n", "component", F.xxhash64("bucket", _block("blocks", 1)).alias("key")).join(texts, ["cid", "n"])
-    return staged(_dealt(met, F.col("key"), width, percent), "links")
+    return staged(_dealt(met, F.col("key"), width, percent), "links"), blocks_of
 
 
 def _block(n: str, seed: int) -> Column:
@@ -163,20 +163,19 @@ def similarity_classes(docs: DataFrame, width: int, percent: int, id_col: str =
     counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
     chosen = members.join(counted, "bucket").groupBy("cid", "n").agg(F.max(F.struct("members", "bucket")).alias("top"), F.min("bucket").alias("low"))
     chosen = staged(chosen.select("cid", "n", F.explode(F.array_distinct(F.array("top.bucket", "low"))).alias("bucket")), "chosen")
-    links = _round(chosen, lengths, texts, None, width, percent)
+    links, _ = _round(chosen, lengths, texts, None, width, percent)
     # Then only buckets that still hold different components are joined whole.
     known = components(links)
     named = members.join(known, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("component"))
     mixed = staged(named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "mixed")
     left = staged(members.join(mixed, "bucket", "left_semi"), "left")
-    links = links.unionByName(_round(left, lengths, texts, known, width, percent))
-    sizes = staged(_blocks(left.join(lengths, ["cid", "n"]), ["bucket"], "blocks"), "blocks")
+    links, sizes = _round(left, lengths, texts, known, width, percent)
+    known = components(links, known=known)
     cut = sizes.where("blocks > 1").select("bucket")
     if not cut.isEmpty():
-        links = links.unionByName(staged(_across(left.join(cut, "bucket", "left_semi").join(texts, ["cid", "n"]), components(links), width, percent), "cross-links"))
-    linked = components(links)
+        known = components(staged(_across(left.join(cut, "bucket", "left_semi").join(texts, ["cid", "n"]), known, width, percent), "cross-links"), known=known)
     # A class without links keeps its own smallest document.
-    placed = staged(classes.join(linked, F.col("cid") == F.col("node"), "left").select("cid", "n", "rep", "component"), "placed")
+    placed = staged(classes.join(known, F.col("cid") == F.col("node"), "left").select("cid", "n", "rep", "component"), "placed")
     lowest = placed.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
     final = staged(placed.join(lowest, "component", "left").select("cid", "n", F.coalesce("low", "rep").alias("low")), "final-classes")
     own = F.struct("did", "k1", "k2")
