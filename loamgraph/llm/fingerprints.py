@@ -6,17 +6,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWEST_ID, narrow
+from .common import LOWEST_ID, blocks, narrow, tidied
 from .text import mix64
 from .winnow import window_minima
 
 GRAM = 16
 WINDOW = 64
+#: Characters compared at once, and bytes of text made Python strings at once: a worker's memory goes by this, but for a longer text.
+HELD = 1 << 18
 
 
 def fingerprints(texts: list[str], k: int = GRAM, w: int = WINDOW) -> list[np.ndarray]:
@@ -86,17 +87,30 @@ def _compare(rows: list[tuple[int, str]], last: str) -> pa.RecordBatch:
     )
 
 
+def _one_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows that stand after a range, only the first is its next."""
+    seen = None
+    for batch in batches:
+        after = batch.column("after").to_numpy()
+        target = batch.column("target").to_numpy()
+        keep = after == 0
+        for i in np.flatnonzero(~keep).tolist():
+            if target[i] != seen:
+                seen, keep[i] = target[i], True
+        yield batch.filter(pa.array(keep))
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (range, place): each with the next one of its range; the last of a range is only a next."""
     held: list[tuple[int, str]] = []
     size, now = 0, None
-    for batch in batches:
+    for batch in _one_after(blocks(batches, "text", HELD)):
         for target, doc, text in zip(*(batch.column(c).to_pylist() for c in ("target", "doc_id", "text"))):
             if target != now:
                 if held[:-1]:
                     yield _compare(held[:-1], held[-1][1])
                 held, size, now = [], 0, target
-            elif size > 1_000_000 and len(held) > 1:
+            elif size > HELD and len(held) > 1:
                 yield _compare(held[:-1], held[-1][1])
                 held, size = held[-1:], len(held[-1][1])
             held.append((doc, text))
@@ -134,27 +148,13 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return spark.createDataFrame([], SCHEMA)
     top = len(bounds) - 1
 
-    @F.pandas_udf("array<int>")
-    def targets(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def targets(ids: pa.Array) -> pa.Array:
         at = np.searchsorted(bounds, ids.to_numpy(), side="right") - 1
         first = bounds[at] == ids.to_numpy()
-        return pd.Series([[int(r), int(r - 1) if r else top] if f else [int(r)] for r, f in zip(at, first)])
+        return pa.array([[int(r), int(r - 1) if r else top] if f else [int(r)] for r, f in zip(at, first)], pa.list_(pa.int32()))
 
     # A copy of each row with a range's first id stands after the range before; of several, the first counts.
     spread = base.select("*", F.posexplode(targets("place")).alias("after", "target"))
-    sorted_rows = spread.repartition(2 * parts, "target").sortWithinPartitions("target", "after", "doc_id", "text")
-    return sorted_rows.select("target", "after", "doc_id", "text").mapInArrow(_one_after, "target int, doc_id long, text string").mapInArrow(_ranges, SCHEMA)
-
-
-def _one_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows that stand after a range, only the first is its next."""
-    seen = None
-    for batch in batches:
-        after = batch.column("after").to_numpy()
-        target = batch.column("target").to_numpy()
-        keep = after == 0
-        for i in np.flatnonzero(~keep).tolist():
-            if target[i] != seen:
-                seen, keep[i] = target[i], True
-        out = batch.filter(pa.array(keep))
-        yield out.select(["target", "doc_id", "text"])
+    sorted_rows = spread.repartition("target").sortWithinPartitions("target", "after", "doc_id", "text")
+    return sorted_rows.select("target", "after", "doc_id", "text").mapInArrow(tidied(_ranges), SCHEMA)

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from loamgraph.llm.fingerprints import document_fingerprints, edited, fingerprints, likeness, written
+from loamgraph.llm.fingerprints import _ranges, document_fingerprints, edited, fingerprints, likeness, written
 from loamgraph.llm.text import mix64
 from loamgraph.llm.winnow import gram_hashes, window_minima
 
@@ -63,3 +65,25 @@ def test_edges(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1.0
     rows = document_fingerprints(table(spark, ["b" * 90, "a" * 90, None, "a" * 90], [4, 4, None, 4])).collect()
     assert len(rows) == 4 and len({r.fingerprint for r in rows if r.n_chars}) == 2
+
+
+def test_memory_of_a_task_is_bounded():
+    """Comparing takes memory by blocks of texts, however large the batch: 4,000,000 characters come in one here."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=2000)) for _ in range(2000)]
+    n = len(texts)
+    columns = {"target": pa.array([0] * n, pa.int32()), "after": pa.array([0] * (n - 1) + [1], pa.int32()), "doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts)}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in _ranges(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == n - 1
+    assert peak < 40e6
+
+
+def test_one_python_worker_a_task(spark):
+    plan = document_fingerprints(table(spark, ["a" * 90, "b"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
